@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import exact_dedup, mixing, sharding, url_filter
+from kindred.llm import exact_dedup, jaccard, mixing, quality, sharding, url_filter
 from kindred.llm.shared import table
 
 
+def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
+
+
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.content_sort(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="max")
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -20,6 +24,10 @@ def op6_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -33,8 +41,10 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_rules": op2_line_rules,
         "op4_content_sort": op4_content_sort,
         "op6_bloom_cascade": op6_bloom_cascade,
+        "op7_shingle_join": op7_shingle_join,
         "op9_histogram_sort": op9_histogram_sort,
         "op10_hash_threshold_mix": op10_hash_threshold_mix,
     }

@@ -6,11 +6,13 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space between words, as a set of characters and as a class for Java and RE2.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -100,6 +102,27 @@ class Store:
             system.delete_dir(path)
 
 
+def with_columns(df: DataFrame, inputs: list[str], added: str, make: Callable[..., Iterable[tuple]]) -> DataFrame:
+    """df with more columns (a DDL string), row by row: make gets a list for each input and yields a tuple for each row. Runs
+    on Arrow batches, so longs beside nulls stay exact. Columns of df with the names of added ones are replaced."""
+    new = T._parse_datatype_string(added)
+    rows = df.select(*(F.col(c) for c in df.columns if c not in new.names), *(F.col(c).alias(f"__in{i}") for i, c in enumerate(inputs)))
+    kept = [f for f in rows.schema.fields if not f.name.startswith("__in")]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in new.fields]
+        for batch in batches:
+            made = list(make(*(batch.column(f"__in{i}").to_pylist() for i in range(len(inputs)))))
+            columns = list(zip(*made, strict=True)) if made else [[] for _ in kinds]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *arrays], names=[*(f.name for f in kept), *new.names])
+
+    return rows.mapInArrow(run, T.StructType([*kept, *new.fields]))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads all bits (a public finaliser)."""
     x = x.astype(np.uint64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +74,10 @@ def is_listed(levels: Sequence[Level], key: Column) -> Column:
     return out
 
 
+def _fit(verdict: str, key: Column) -> Column:
+    return F.struct(F.length(key).alias("n"), key.alias("rule"), F.lit(verdict).alias("verdict"))
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z in lower case) and path; empty for null and without '://'."""
     rest = F.when(F.instr(url, "://") > 0, F.expr("substring(__url, instr(__url, '://') + 3)")).otherwise(F.lit(""))
@@ -104,8 +108,8 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: st
     for verdict in sorted({v for _, v in rules}):
         own = spark.range(1).select(F.explode(F.array(*(F.lit(r) for r, v in rules if v == verdict))).alias("key"))
         levels = build_cascade(own, universe)
-        listed[verdict] = F.filter("__keys", lambda k, levels=levels: is_listed(levels, k))
-    fits = F.flatten(F.array(*(F.transform(found, lambda k, v=v: F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit(v).alias("verdict"))) for v, found in listed.items())))
+        listed[verdict] = F.filter("__keys", partial(is_listed, levels))
+    fits = F.flatten(F.array(*(F.transform(found, partial(_fit, verdict)) for verdict, found in listed.items())))
     rows = rows.withColumn("__best", F.array_max(fits))
     rows = rows.withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce("__best.verdict", F.lit("allow"))})
     return rows.drop(*(c for c in rows.columns if c.startswith("__")))
