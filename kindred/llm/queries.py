@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import exact_dedup, jaccard, mixing, quality, sharding, url_filter
+from kindred.llm import exact_dedup, jaccard, lm, mixing, quality, sharding, url_filter
 from kindred.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.perplexity(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_rules": op2_line_rules,
         "op4_content_sort": op4_content_sort,
+        "op5_kneser_ney": op5_kneser_ney,
         "op6_bloom_cascade": op6_bloom_cascade,
         "op7_shingle_join": op7_shingle_join,
         "op9_histogram_sort": op9_histogram_sort,
