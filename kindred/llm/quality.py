@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from kindred.llm.shared import BLANKS, with_columns
 
@@ -144,13 +143,3 @@ def clean_lines(docs: DataFrame, text_col: str = "text", rules: Rules = Rules())
             yield tuple(assess(text, rules).values())
 
     return with_columns(docs, [text_col], RESULT, run)
-
-
-def cleaned(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", rules: Rules = Rules()) -> DataFrame:
-    """The documents that are kept, with their cleaned text, in the columns of docs."""
-    rows = clean_lines(docs.withColumnRenamed("kept", "__kept") if "kept" in docs.columns else docs, text_col, rules).filter("kept").withColumn(text_col, F.col("clean_text"))
-    if chars_col in docs.columns:
-        rows = rows.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    if "__kept" in rows.columns:
-        rows = rows.drop("kept").withColumnRenamed("__kept", "kept")
-    return rows.select(*docs.columns)

@@ -7,14 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm import exact_dedup, jaccard, lm, mixing, quality, sharding, url_filter
+from kindred.llm import exact_dedup, html, jaccard, lm, mixing, pieces, quality, sharding, toxicity, url_filter
 from kindred.llm.shared import table
 
 
+def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.grades(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "severity", "grade", "toxic")
+
+
 def op2_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "clean_text")
 
 
+def op3_boosted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.content_sort(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="max")
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -32,6 +41,10 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_and_checked(table(spark, sf_dir, "documents"))
+
+
 def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
@@ -45,11 +58,14 @@ def op10_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ordinal_toxicity": op1_ordinal_toxicity,
         "op2_line_rules": op2_line_rules,
+        "op3_boosted_nodes": op3_boosted_nodes,
         "op4_content_sort": op4_content_sort,
         "op5_kneser_ney": op5_kneser_ney,
         "op6_bloom_cascade": op6_bloom_cascade,
         "op7_shingle_join": op7_shingle_join,
+        "op8_piece_lattice": op8_piece_lattice,
         "op9_histogram_sort": op9_histogram_sort,
         "op10_hash_threshold_mix": op10_hash_threshold_mix,
     }

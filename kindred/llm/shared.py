@@ -96,6 +96,11 @@ class Store:
             return np.empty(0, dtype)
         return np.memmap(path, dtype, "r")
 
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written as Parquet and read again."""
+        df.write.parquet(f"{self.uri}/{name}", compression="zstd")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{self.uri}/{name}")
+
     def delete(self) -> None:
         system, path = self._at("")
         with contextlib.suppress(OSError):
