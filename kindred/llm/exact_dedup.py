@@ -28,14 +28,19 @@ def content_sort(
     assert keep in ("min", "max")
     norm = F.coalesce((normalise or (lambda x: x))(F.col(text_col)), F.lit(""))
     rows = docs.drop("keep_id", "group_size", "kept").withColumns({"__norm": norm}).withColumns({"__head": F.substring("__norm", 1, 32), "__fp": F.xxhash64("__norm")})
+    rows = rows.withColumn("__null", F.col(text_col).isNull())
+    if normalise is None:  # the text is exchanged once, not beside itself
+        rows = rows.drop(text_col)
     limit = max(hot_rows, docs.count() // HOT_SHARE)
     hot = [r[0] for r in rows.groupBy("__fp").count().filter(F.col("count") > limit).select("__fp").collect()]
     is_hot = F.col("__fp").isin(hot) if hot else F.lit(False)
     order = F.col(id_col).asc_nulls_last() if keep == "min" else F.col(id_col).desc_nulls_last()
     best = F.min if keep == "min" else F.max
 
-    ranged = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(id_col), F.lit(SALTS))).otherwise(F.lit(0))).repartitionByRange("__head", "__fp", "__salt")
-    same = Window.partitionBy("__head", "__fp", "__salt", "__norm")
+    # a salt that is the same everywhere would be folded away below the window only, which then asks for another exchange
+    by = ["__head", "__fp", *["__salt"] * bool(hot)]
+    ranged = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(id_col), F.lit(SALTS))).otherwise(F.lit(0))).repartitionByRange(*by)
+    same = Window.partitionBy(*by, "__norm")
     first = same.orderBy(order)
     runs = ranged.withColumns({"__rank": F.row_number().over(first), "keep_id": best(id_col).over(same), "group_size": F.count(F.lit(1)).over(same)})
     if hot:
@@ -49,4 +54,7 @@ def content_sort(
         runs = runs.withColumns({"keep_id": F.when(F.col("__size2").isNull(), F.col("keep_id")).otherwise(F.col("__keep2")), "group_size": F.coalesce("__size2", "group_size")})
     else:
         runs = runs.withColumn("__won", F.lit(True))
-    return runs.withColumn("kept", (F.col("__rank") == 1) & F.col("__won")).drop(*(c for c in runs.columns if c.startswith("__")))
+    runs = runs.withColumn("kept", (F.col("__rank") == 1) & F.col("__won"))
+    if normalise is None:
+        runs = runs.withColumn(text_col, F.when(~F.col("__null"), F.col("__norm")))
+    return runs.select(*(c for c in docs.columns if c not in ("keep_id", "group_size", "kept")), "keep_id", "group_size", "kept")
