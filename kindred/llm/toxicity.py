@@ -35,39 +35,39 @@ class CumulativeLink:
 
     def at_least(self, counts: Counter) -> np.ndarray:
         own, x = self.words, 0.0
-        for w in counts.keys() & own.keys():
+        for w in sorted(counts.keys() & own.keys()):
             x += self.weights[own[w]] * (1 + np.log(counts[w]))
         return 1 / (1 + np.exp(np.clip(self.cuts - x, -60, 60)))
 
 
-def chosen(docs: list[Counter], toxic: np.ndarray) -> list[str]:
-    """Words whose share of toxic documents differs clearly from that of the others, the clearest first."""
-    n, n1 = len(docs), int(toxic.sum())
-    every, bad = Counter(), Counter()
-    for d, t in zip(docs, toxic, strict=True):
-        every.update(d.keys())
-        if t:
-            bad.update(d.keys())
-    p, z = n1 / max(1, n), {}
-    for w, k in every.items():
-        if k >= LEAST_DOCS:
-            z[w] = (bad[w] - k * p) / np.sqrt(max(k * p * (1 - p), 1e-9))
-    return sorted((w for w, x in z.items() if abs(x) >= LEAST_Z), key=lambda w: (-abs(z[w]), w))[:MOST_FEATURES]
+def chosen(texts: list[str | None], toxic: np.ndarray) -> dict[str, bool]:
+    """Words whose share of toxic documents differs clearly from that of the others, the clearest first; and whether more
+    than half of their documents are toxic."""
+    p, every, bad = float(toxic.mean()) if len(toxic) else 0.0, Counter(), Counter()
+    for t, is_toxic in zip(texts, toxic, strict=True):
+        found = features(t).keys()
+        every.update(found)
+        if is_toxic:
+            bad.update(found)
+    z = {w: (bad[w] - k * p) / max(k * p * (1 - p), 1e-9) ** 0.5 for w, k in every.items() if k >= LEAST_DOCS}
+    best = sorted((w for w, x in z.items() if abs(x) >= LEAST_Z), key=lambda w: (-abs(z[w]), w))[:MOST_FEATURES]
+    return {w: bad[w] > 0.5 * every[w] for w in best}
 
 
 def fit(texts: list[str | None], toxic: list[int], steps: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> CumulativeLink:
     """Maximum likelihood of the grades with a ridge, by Adam. The labels tell toxic or not; a toxic document's grade is 1, or
     2 and 3 by how often the words occur that mark toxic documents."""
-    docs, toxic_ = [features(t) for t in texts], np.asarray(toxic, np.int64) if len(toxic) else np.zeros(0, np.int64)
-    names = chosen(docs, toxic_)
+    toxic_ = np.asarray(toxic, np.int64)
+    marks = chosen(texts, toxic_)
+    names = list(marks)
     words = {w: i for i, w in enumerate(names)}
-    row, col, value = [], [], []
-    for i, d in enumerate(docs):
-        for w in d.keys() & words.keys():
+    row, col, value, hits, docs = [], [], [], np.zeros(len(texts)), texts
+    for i, t in enumerate(texts):
+        d = features(t)
+        for w in sorted(d.keys() & words.keys()):
             row.append(i), col.append(words[w]), value.append(1 + np.log(d[w]))
+            hits[i] += d[w] * marks[w]
     row, col, value = np.array(row, np.int64), np.array(col, np.int64), np.array(value, float)
-    marks = {w for w in names if sum(1 for i, d in enumerate(docs) if w in d and toxic_[i]) > 0.5 * sum(w in d for d in docs)}
-    hits = np.array([sum(n for w, n in d.items() if w in marks) for d in docs]) if docs else np.zeros(0)
     grade = np.where(toxic_ > 0, 1 + (hits >= GRADE_HITS[0]) + (hits >= GRADE_HITS[1]), 0)
     n, k = max(1, len(docs)), 3
     weights, free = np.zeros(len(names)), np.array([2.0, np.log(0.5), np.log(0.5)])  # the first cut, logs of the gaps after it
