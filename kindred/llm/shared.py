@@ -19,6 +19,10 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Rows of an Arrow batch that are Python objects at once.
+SLICE = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -119,7 +123,7 @@ def with_columns(df: DataFrame, inputs: list[str], added: str, make: Callable[..
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in new.fields]
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, max(1, b.num_rows), SLICE)):
             made = list(make(*(batch.column(f"__in{i}").to_pylist() for i in range(len(inputs)))))
             columns = list(zip(*made, strict=True)) if made else [[] for _ in kinds]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
