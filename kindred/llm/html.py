@@ -255,8 +255,8 @@ class Boosted:
         self.start, self.trees = 0.0, []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
-        bins = np.stack([np.searchsorted(k, c, side="left") for k, c in zip(cuts, x.T, strict=True)], 1)
+        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T] if len(y) else []
+        bins = np.stack([np.searchsorted(k, c, side="left") for k, c in zip(cuts, x.T, strict=True)], 1) if cuts else x
         p = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
         self.start = float(np.log(p / (1 - p)))
         score, width = np.full(len(y), self.start), 33

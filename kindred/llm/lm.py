@@ -125,8 +125,8 @@ class Counts:
         where = numbers * self.facts["buckets"] // (self.facts["V"] + 1)
         for b in np.unique(where[numbers >= 0]):
             pick = np.flatnonzero((where == b) & (numbers >= 0))
-            table = self.file(f"after/{b}", np.uint32).reshape(4, -1)
-            out[:, pick] = table[:, numbers[pick] - self.low(int(b))]
+            if (table := self.file(f"after/{b}", np.uint32)).size:
+                out[:, pick] = table.reshape(4, -1)[:, numbers[pick] - self.low(int(b))]
         return out
 
     def low(self, b: int) -> int:
