@@ -157,3 +157,12 @@ def test_submission_checks(spark):
     assert bad([("S1-1", "X9-1"), ("S1-2", "")]) == {"foreign_ids": 1, "not_candidates": 1}
     assert bad([("S1-1", ""), ("S1-2", "S2-5")]) == {"not_candidates": 1}
     assert bad([("S1-1", ""), ("S1-2", "")], [("S1-1", "")]) == {"candidate_row_count": 1, "candidate_ids": 1}
+
+
+def test_sample_of_a_large_table(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.col("id").alias("ord"), F.concat(F.lit("S1-"), "id").alias("entity_id"))
+    plain = [r.entity_id for r in rows.orderBy(pairs.place(F.col("entity_id")), "ord").limit(50).collect()]
+    assert [r.entity_id for r in pairs.sample(rows, 50).collect()] == plain
+    assert pairs.sample(rows, 5000).count() == 3000
