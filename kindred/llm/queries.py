@@ -42,7 +42,7 @@ def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encoded_and_checked(table(spark, sf_dir, "documents"))
+    return pieces.encoded_and_checked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ WITH rules(rule, verdict, host_part, path_part) AS (
   VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
          ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
 rests AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-parts AS (SELECT page_id, url, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+parts AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
 fits AS (SELECT DISTINCT p.url, r.rule, r.verdict FROM (SELECT DISTINCT url, host, path FROM parts) p JOIN rules r
          ON (p.host = r.host_part OR ends_with(p.host, '.' || r.host_part)) AND starts_with(p.path, r.path_part)),
 best AS (SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fits GROUP BY url)
