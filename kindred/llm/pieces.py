@@ -4,25 +4,27 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterable
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kindred.llm.jaccard import arrow_of
-from kindred.llm.shared import Store, checkpointed, with_columns
+from kindred.llm.shared import Store
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units of a text: a word with the spaces before it, or one of these breaks, which no piece of several characters holds.
-UNIT = re.compile(f"[\n\t]|{SPACE}*[^{SPACE}\n\t]+|{SPACE}+")
 #: Code points of a unit that the lattice handles; its borders are bits of a long. Others are merged by the workers.
 LONGEST, BUCKETS = 48, 256
+#: Units that a worker keeps at once, and texts that it handles at once.
+MOST_KNOWN, BLOCK = 150_000, 500
 
 
 @dataclass(frozen=True)
@@ -30,10 +32,11 @@ class Pieces:
     """What a model file holds: pieces, their order of merging (0 first) and the id of byte 0."""
 
     names: list[str]
-    rank: list[float]
+    rank: list[int]
     first_byte: int
     ids: dict[str, int] = field(default_factory=dict)
     longest: int = 0
+    unit: re.Pattern = re.compile("")
 
     @classmethod
     def read(cls, path: str) -> Pieces:
@@ -44,10 +47,18 @@ class Pieces:
         names = [sp.id_to_piece(i) for i in range(n)]
         byte = next(i for i in range(n) if sp.is_byte(i))
         ids = {p: i for i, p in enumerate(names) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-        found = cls(names, [-sp.get_score(i) for i in range(n)], byte, ids, max(map(len, ids)))
         if any(len(p) > 1 and (SPACE in p.lstrip(SPACE) or re.search("[\n\t]", p)) for p in ids):
             raise ValueError("a piece crosses the border of a unit")
-        return found
+        # marks that no piece has behind a letter: what comes before them is never merged with them
+        joined = {p[i] for p in ids for i in range(1, len(p)) if p[i - 1].isalpha()}
+        ends = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined)
+        unit = re.compile(f"[\n\t]|{SPACE}*[^\\W\\d_]+(?=[{SPACE}\n\t{ends}]|\\Z)|{SPACE}*[^{SPACE}\n\t]+|{SPACE}+")
+        order = {x: i for i, x in enumerate(sorted({-sp.get_score(i) for i in ids.values()}))}
+        return cls(names, [order.get(-sp.get_score(i), 0) for i in range(n)], byte, ids, max(map(len, ids)), unit)
+
+    def units(self, text: str | None) -> list[str]:
+        """A text in parts that no piece crosses: words with the spaces before them, marks, line breaks."""
+        return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.first_byte + b for b in char.encode("utf-8", "surrogatepass")]
@@ -56,7 +67,7 @@ class Pieces:
         """Ids of one unit by merging pairs, least rank first, then from the left; for what the lattice leaves."""
         end = list(range(1, len(unit) + 1))  # of the symbol that starts at i; 0: none starts there
         before = list(range(-1, len(unit) - 1))
-        heap: list[tuple[float, int, int, int]] = []
+        heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = end[i]
@@ -82,15 +93,15 @@ class Pieces:
         return out
 
 
-def units(text: str | None) -> list[str]:
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
 def in_lattice(unit: str) -> bool:
     """Runs of spaces are left out: their pieces share one rank, so the order of merging isn't that of the edges."""
     return len(unit) <= LONGEST and not unit.startswith(SPACE * 2)
 
 
+#: An edge as a long: rank, start, end, and 1 + id (0 for a character without a piece), so that longs sort by rank and place.
+START, END, ID = "cast(shiftright({x}, 23) & 63 AS int)", "cast(shiftright({x}, 17) & 63 AS int)", "cast({x} & 131071 AS int) - 1"
+
+
 def unit_ids(found: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, ids) of distinct units.
 
@@ -98,29 +109,28 @@ def unit_ids(found: DataFrame, pieces: Pieces) -> DataFrame:
     of each unit's lattice; they are grouped by unit, in order of rank and place, and folded: the state is a set of borders
     as bits, and an edge between two borders with exactly one border between them takes that border away. What is left
     between borders are the pieces; a character without a piece becomes its bytes."""
-    spark = found.sparkSession
-    rows = [(p, i, float(pieces.rank[i])) for p, i in pieces.ids.items()]
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "rank"]), "piece string, id int, rank double")
-    edges = found.select(
-        "unit",
-        F.expr(
-            f"""inline(flatten(transform(sequence(0, length(unit) - 1), i -> transform(sequence(1, least({pieces.longest}, length(unit) - i)),
-                n -> struct(i AS s, i + n AS e, substring(unit, i + 1, n) AS piece)))))"""
-        ),
-    )
-    edges = edges.join(F.broadcast(table), "piece", "left").filter("id is not null or e - s = 1")
-    lattice = edges.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("rank", F.lit(0.0)).alias("rank"), "s", "e", "id"))).alias("edges"))
-    inner = "(st & (shiftleft(1L, x.e) - shiftleft(1L, x.s + 1)))"
-    ends = "(st & shiftleft(1L, x.s)) <> 0 AND (st & shiftleft(1L, x.e)) <> 0"
-    borders = f"""aggregate(filter(edges, x -> x.e - x.s > 1), shiftleft(1L, length(unit) + 1) - 1L,
-        (st, x) -> CASE WHEN {ends} AND {inner} <> 0 AND ({inner} & ({inner} - 1L)) = 0 THEN st - {inner} ELSE st END)"""
-    path = f"array_sort(transform(filter(edges, x -> {ends} AND {inner} = 0), x -> struct(x.s, x.id)))"
-    code = f"""transform(sequence(1, octet_length(substring(unit, x.s + 1, 1))),
-        i -> {pieces.first_byte} + cast(conv(substring(hex(encode(substring(unit, x.s + 1, 1), 'utf-8')), 2 * i - 1, 2), 16, 10) AS int))"""
+    rows = [(p, (pieces.rank[i] << 29) + i + 1) for p, i in pieces.ids.items()]
+    table = found.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["piece", "code"]), "piece string, code long")
+    # substring k of a text, by its end and then its start: k = end * (end - 1) / 2 + start
+    every = found.select("unit", F.explode(F.expr("sequence(0, length(unit) * (length(unit) + 1) div 2 - 1)")).alias("k"))
+    every = every.withColumn("e", F.expr("cast((sqrt(8.0D * k + 1.0D) - 1.0D) / 2.0D AS int) + 1"))
+    every = every.withColumn("s", F.expr("k - cast(e * (e - 1) / 2 AS int)")).filter(F.col("e") - F.col("s") <= pieces.longest)
+    edges = every.select("unit", F.expr("(s << 23) + (e << 17)").alias("place"), F.expr("e - s").alias("n"), F.expr("substring(unit, s + 1, e - s)").alias("piece"))
+    edges = edges.join(F.broadcast(table), "piece", "left").filter("code is not null or n = 1")
+    lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list(F.coalesce("code", F.lit(0)) + F.col("place"))).alias("edges"))
+    start, end, ident = (t.format(x="x") for t in (START, END, ID))
+    inner = f"(st & (shiftleft(1L, {end}) - shiftleft(2L, {start})))"
+    ends = f"(shiftright(st, {start}) & shiftright(st, {end}) & 1L) = 1L"
+    borders = f"""aggregate(edges, shiftleft(2L, length(unit)) - 1L,
+        (st, x) -> CASE WHEN {ends} AND {inner} <> 0L AND ({inner} & ({inner} - 1L)) = 0L THEN st - {inner} ELSE st END)"""
+    path = f"array_sort(transform(filter(edges, x -> {ends} AND {inner} = 0L), x -> (cast({start} AS long) << 17) + (x & 131071L)))"
+    char = "substring(unit, cast(shiftright(x, 17) AS int) + 1, 1)"
+    code = f"""transform(sequence(1, octet_length({char})),
+        i -> {pieces.first_byte} + cast(conv(substring(hex(encode({char}, 'utf-8')), 2 * i - 1, 2), 16, 10) AS int))"""
     return (
         lattice.withColumn("st", F.expr(borders))
         .withColumn("path", F.expr(path))
-        .select("unit", F.expr(f"flatten(transform(path, x -> CASE WHEN x.id IS NULL THEN {code} ELSE array(x.id) END))").alias("ids"))
+        .select("unit", F.expr(f"CASE WHEN exists(path, x -> (x & 131071L) = 0L) THEN flatten(transform(path, x -> CASE WHEN (x & 131071L) = 0L THEN {code} ELSE array({ident}) END)) ELSE transform(path, x -> {ident}) END").alias("ids"))
     )
 
 
@@ -144,81 +154,174 @@ class Dictionary:
         keyed = found.select(F.xxhash64("unit").alias("hash"), "ids")
         keyed.withColumn("part", F.shiftrightunsigned("hash", 56).cast("int")).groupBy("part").applyInPandas(run, "n long").agg(F.sum("n")).collect()
 
-    def look_up(self, wanted: list[str]) -> dict[str, tuple[int, ...]]:
+    def look_up(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of each unit, and all the ids."""
         hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42) for u in wanted), np.uint64, len(wanted))
         order = np.argsort(hashes)
         cuts = np.searchsorted(hashes[order], np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(56))
-        out = {}
+        lengths, parts = np.zeros(len(wanted), np.int64), []
         for b, pick in enumerate(np.split(order, cuts)):
             if len(pick):
                 if b not in self.open:
                     self.open[b] = [self.store.load(f"{n}/{b}", k) for n, k in (("keys", np.uint64), ("starts", np.int64), ("ids", np.int32))]
                 keys, starts, ids = self.open[b]
                 at = np.searchsorted(keys, hashes[pick])
-                if (keys[at] != hashes[pick]).any():
+                if at[-1] == len(keys) or (keys[at] != hashes[pick]).any():
                     raise KeyError("a unit isn't in the dictionary")
-                for i, lo, hi in zip(pick, starts[at].tolist(), starts[at + 1].tolist(), strict=True):
-                    out[wanted[i]] = tuple(ids[lo:hi].tolist())
-        return out
+                lengths[pick] = starts[at + 1] - starts[at]
+                parts.append(ids[spread(starts[at], lengths[pick])])
+        back = np.empty(len(order), np.int64)  # parts are in order of hashes; give them in the order asked
+        back[order] = np.cumsum(lengths[order]) - lengths[order]
+        return lengths, np.concatenate([np.empty(0, np.int32), *parts])[spread(back, lengths)]
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... lengths[0] of them; then those of the next."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Known(dict):
+    """Numbers of units that a worker has seen, and their ids in one array."""
+
+    def __init__(self, pieces: Pieces, dictionary: Dictionary):
+        super().__init__()
+        self.pieces, self.dictionary = pieces, dictionary
+        self.fresh: list[str] = []
+        self.lengths, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def __missing__(self, unit: str) -> int:
+        self.fresh.append(unit)
+        self[unit] = n = len(self)
+        return n
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of each text, and all the ids."""
+        if len(self) > MOST_KNOWN:
+            self.clear()
+            self.lengths, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        cut = [self.pieces.units(t) for t in texts]
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64)
+        if self.fresh:
+            listed = [u for u in self.fresh if in_lattice(u)]
+            lengths, ids = self.dictionary.look_up(listed)
+            other = {u: self.pieces.merge(u) for u in self.fresh if not in_lattice(u)}
+            if other:  # in the order of their numbers
+                every, cuts = iter(np.split(ids, np.cumsum(lengths)[:-1])), []
+                cuts = [np.array(other[u], np.int32) if u in other else next(every) for u in self.fresh]
+                lengths, ids = np.fromiter(map(len, cuts), np.int64, len(cuts)), np.concatenate(cuts)
+            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
+            self.lengths, self.ids, self.fresh = np.concatenate((self.lengths, lengths)), np.concatenate((self.ids, ids)), []
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        each = self.lengths[at]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        return np.diff(ends[bounds]), self.ids[spread(self.starts[at], each)]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows at most in this session: texts beside their ids are large rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
+def by_blocks(df: DataFrame, column: str, added: str, start: Callable, dropped: tuple[str, ...] = ()) -> DataFrame:
+    """df without the dropped columns, with those of a DDL string, made from blocks of one column by start()(array), which
+    gives Arrow arrays. Columns of df with the names of added ones are replaced."""
+    new = T._parse_datatype_string(added)
+    kept = [c for c in df.columns if c not in new.names and c not in dropped]
+    own = column if column in kept else "__in"
+    rows = df.select(*kept, *([F.col(column).alias("__in")] if own == "__in" else []))
+
+    def run(batches):
+        make = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *make(part.column(own))], names=[*kept, *new.names])
 
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *new.fields]))
 
-def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
+
+def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ids (array of int) and n_tokens, as the model's own library gives them, to every row.
 
-    A text is cut into units that no piece crosses (a word with the spaces before it, a line break). Distinct units go
-    through unit_ids; the few with several spaces or over 48 characters are merged in the workers by the same rule. The
-    result is written as sorted hashes to the shared folder, where the workers map it, so that texts are never exchanged.
-    Null and empty text have no ids. Input columns of the results' names are replaced. An empty table gives an empty result.
+    A text is cut into units that no piece crosses (a word with the spaces before it, the marks after it, a line break).
+    Distinct units go through unit_ids; the few with several spaces or over 48 characters are merged in the workers by the
+    same rule. The result is written as sorted hashes to the shared folder, where the workers map it, so that texts are never
+    exchanged; its files are needed whenever the result is read, and go when the driver's Python ends. Null and empty text
+    have no ids. Input columns of the results' names are replaced. An empty table gives an empty result. keep_text=False
+    leaves the text out of the result.
     """
     pieces = Pieces.read(model)
+    small_batches(docs.sparkSession)
 
     def seen(batches):
         known: set[str] = set()
         for batch in batches:
-            fresh = set(chain.from_iterable(map(units, batch.column(0).to_pylist()))).difference(known)
-            known = known | fresh if len(known) < 500_000 else fresh
-            yield pd.DataFrame({"unit": [u for u in fresh if in_lattice(u)]}, dtype=object)
+            for at in range(0, batch.num_rows, BLOCK):
+                fresh = set(chain.from_iterable(map(pieces.units, batch.column(0).slice(at, BLOCK).to_pylist()))).difference(known)
+                if len(known) > 2 * MOST_KNOWN:
+                    known.clear()
+                known.update(fresh)
+                yield pd.DataFrame({"unit": [u for u in fresh if in_lattice(u)]}, dtype=object)
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(arrow_of(seen, "unit string"), "unit string").distinct()
     store = Store.new(docs.sparkSession, "units")
-    Dictionary.write(store, unit_ids(found, pieces))
-
-    def run(texts: Iterable[str | None]):
-        dictionary, known = Dictionary(store), {}
-        for at in range(0, len(texts), 1000):
-            cut = [units(t) for t in texts[at : at + 1000]]
-            if len(known) > 400_000:
-                known = {}
-            fresh = set(chain.from_iterable(cut)).difference(known)
-            known |= dictionary.look_up([u for u in fresh if in_lattice(u)])
-            known |= {u: tuple(pieces.merge(u)) for u in fresh if not in_lattice(u)}
-            for u in cut:
-                ids = list(chain.from_iterable(map(known.__getitem__, u)))
-                yield ids, len(ids)
-
-    made = checkpointed(with_columns(docs, [text_col], "ids array<int>, n_tokens long", run))
-    store.delete()
-    return made
+    store.delete_at_exit()
+    # an aggregate that sorts in memory: the one by hash hands its rows to a sorter on disk after a few units
+    name = "spark.sql.execution.useObjectHashAggregateExec"
+    before = docs.sparkSession.conf.get(name)
+    docs.sparkSession.conf.set(name, "false")
+    try:
+        Dictionary.write(store, unit_ids(found, pieces))
+    finally:
+        docs.sparkSession.conf.set(name, before)
+
+    def start():
+        known = Known(pieces, Dictionary(store))
+
+        def make(texts: pa.Array) -> list[pa.Array]:
+            sizes, ids = known.encode(texts.to_pylist())
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())), pa.array(sizes, pa.int64())]
+
+        return make
+
+    return by_blocks(docs, text_col, "ids array<int>, n_tokens long", start, () if keep_text else (text_col,))
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds the text of each row's ids. It is the encoded text, but for U+2581, which becomes a space. Null ids give null."""
     pieces = Pieces.read(model)
+    small_batches(rows.sparkSession)
 
-    def run(lists):
+    def start():
         held = [p.replace(SPACE, " ").encode() for p in pieces.names]
         for b in range(256):
             held[pieces.first_byte + b] = bytes([b])
-        for ids in lists:
-            if ids is None:
-                yield (None,)
-            else:
-                yield (b"".join(map(held.__getitem__, ids))[1:].decode("utf-8", "replace"),)
+        pool, lengths = np.frombuffer(b"".join(held), np.uint8), np.fromiter(map(len, held), np.int64, len(held))
+        first = np.cumsum(lengths) - lengths
+
+        def make(lists: pa.Array) -> list[pa.Array]:
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = pool[spread(first[ids], lengths[ids])].tobytes()
+            ends = np.concatenate(([0], np.cumsum(lengths[ids])))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+            # the first byte is the space that encoding puts before a text
+            texts = [raw[a + 1 : b].decode("utf-8", "replace") if valid else None for a, b, valid in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist(), strict=True)]
+            return [pa.array(texts, pa.string())]
+
+        return make
 
-    return with_columns(rows, [ids_col], f"{text_col} string", run)
+    return by_blocks(rows, ids_col, f"{text_col} string", start)
 
 
 def encoded_and_checked(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, and whether decoding gives the text again."""
-    rows = decode(encode(docs.select("doc_id", "text"), model), model)
-    return rows.select("doc_id", "n_tokens", "ids", (F.coalesce("text", F.lit("")) == F.coalesce("decoded", F.lit(""))).alias("round_trip"))
+    """docs (doc_id, text, others) without text, with n_tokens, ids, and whether decoding gives the text again (by length and
+    64-bit hash, so that texts needn't travel beside their ids)."""
+    mark = lambda c: F.struct(F.xxhash64(F.coalesce(c, F.lit(""))), F.length(F.coalesce(c, F.lit(""))))
+    rows = decode(encode(docs.withColumn("own_mark", mark("text")), model, keep_text=False), model)
+    others = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded", "own_mark")]
+    return rows.select(*others, "n_tokens", "ids", (F.col("own_mark") == mark("decoded")).alias("round_trip"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
 import tempfile
@@ -105,6 +106,10 @@ class Store:
         df.write.parquet(f"{self.uri}/{name}", compression="zstd")
         return df.sparkSession.read.schema(df.schema).parquet(f"{self.uri}/{name}")
 
+    def delete_at_exit(self) -> None:
+        """For files that a result needs whenever it is read."""
+        atexit.register(self.delete)
+
     def delete(self) -> None:
         system, path = self._at("")
         with contextlib.suppress(OSError):
@@ -115,7 +120,8 @@ def with_columns(df: DataFrame, inputs: list[str], added: str, make: Callable[..
     """df with more columns (a DDL string), row by row: make gets a list for each input and yields a tuple for each row. Runs
     on Arrow batches, so longs beside nulls stay exact. Columns of df with the names of added ones are replaced."""
     new = T._parse_datatype_string(added)
-    rows = df.select(*(F.col(c) for c in df.columns if c not in new.names), *(F.col(c).alias(f"__in{i}") for i, c in enumerate(inputs)))
+    held = {c: f"__in{i}" if c in new.names else c for i, c in enumerate(inputs)}
+    rows = df.select(*(F.col(c) for c in df.columns if c not in new.names), *(F.col(c).alias(n) for c, n in held.items() if c != n))
     kept = [f for f in rows.schema.fields if not f.name.startswith("__in")]
 
     def run(batches):
@@ -124,7 +130,7 @@ def with_columns(df: DataFrame, inputs: list[str], added: str, make: Callable[..
 
         kinds = [to_arrow_type(f.dataType) for f in new.fields]
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, max(1, b.num_rows), SLICE)):
-            made = list(make(*(batch.column(f"__in{i}").to_pylist() for i in range(len(inputs)))))
+            made = list(make(*(batch.column(n).to_pylist() for n in held.values())))
             columns = list(zip(*made, strict=True)) if made else [[] for _ in kinds]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *arrays], names=[*(f.name for f in kept), *new.names])
