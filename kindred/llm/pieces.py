@@ -24,7 +24,7 @@ SPACE = "▁"
 #: Code points of a unit that the lattice handles; its borders are bits of a long. Others are merged by the workers.
 LONGEST, BUCKETS = 48, 256
 #: Units that a worker keeps at once, and texts that it handles at once.
-MOST_KNOWN, BLOCK = 150_000, 500
+MOST_KNOWN, BLOCK = 80_000, 250
 
 
 @dataclass(frozen=True)
@@ -267,7 +267,9 @@ def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", keep_tex
                 known.update(fresh)
                 yield pd.DataFrame({"unit": [u for u in fresh if in_lattice(u)]}, dtype=object)
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(arrow_of(seen, "unit string"), "unit string").distinct()
+    # a unit's edges take some ten times its room, so units are dealt to more tasks than their own size asks for
+    tasks = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(arrow_of(seen, "unit string"), "unit string").repartition(tasks, "unit").distinct()
     store = Store.new(docs.sparkSession, "units")
     store.delete_at_exit()
     # an aggregate that sorts in memory: the one by hash hands its rows to a sorter on disk after a few units
