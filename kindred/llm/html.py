@@ -211,6 +211,9 @@ def features(nodes: list[Node]) -> np.ndarray:
         if not x.tag:
             seen += chars[i]
     total = max(1.0, chars[0])
+    place = np.zeros(n)
+    for x in nodes:
+        place[x.children] = np.arange(len(x.children))
     out = np.zeros((n, kinds * 2 + 20), np.float32)
     for i, x in enumerate(nodes):
         up, row = x.parent, out[i]
@@ -225,7 +228,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         row[kinds * 2 + 2] += x.hidden
         if i:
             mates = nodes[up].children
-            row[kinds * 2 + 4] = mates.index(i) / len(mates) if len(mates) < 50 else 0.5
+            row[kinds * 2 + 4] = place[i] / len(mates)
             row[kinds * 2 + 5] = len(mates)
             row[kinds * 2 + 6] = np.log1p((chars[up] - chars[i]) / max(1, len(mates) - 1))
             row[kinds * 2 + 7] = chars[i] / max(1.0, chars[up])

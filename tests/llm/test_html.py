@@ -57,6 +57,13 @@ def test_parsing():
     assert len(runs("<div>x" * 3000)) == 3000
 
 
+@pytest.mark.parametrize("n", [3, 49, 50, 120])
+def test_place_among_siblings(n):
+    nodes = H.parse("<div>" + "".join(f"<p>Paragraph {i}.</p>" for i in range(n)) + "</div>")
+    at = [i for i, x in enumerate(nodes) if x.tag == "p"]
+    assert np.allclose(H.features(nodes)[at, len(H.KINDS) * 2 + 4], np.arange(n) / n)
+
+
 def test_choice_is_consistent_and_best():
     r = random.Random(3)
     for _ in range(40):
