@@ -246,11 +246,11 @@ def submission_summary(spark, sf_dir):
 
 
 def gbt_match(spark, sf_dir):
-    """Probabilities by a small model, trained on the pairs that blocking finds."""
+    """Probabilities by a model of the default settings, trained on the pairs that blocking finds."""
     d = Directory(spark, sf_dir)
     found = d.found().persist()
     made = pairs.training_pairs(found, d.truth, d.targets, 10)
-    trained = model.fit(pair_features(made, d.left, d.right), replace(DEFAULT, trees=10, depth=4))
+    trained = model.fit(pair_features(made, d.left, d.right), DEFAULT)
     return model.predict(trained, pair_features(found, d.left, d.right)).select("s1_id", "target_id", F.round("score", 6).alias("score"))
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.config import DEFAULT
 from kindred.plans import queries as Q
 from tests.conftest import SMALL, plain
 
@@ -16,6 +17,19 @@ def test_every_query_has_sql_but_the_model():
     assert set(Q.QUERIES) - set(Q.SQL) == {"gbt_match"}
 
 
+def test_the_model_takes_the_default_settings(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def fit(rows, settings=DEFAULT):
+        raise Seen(settings)
+
+    monkeypatch.setattr(Q.model, "fit", fit)
+    with pytest.raises(Seen) as seen:
+        Q.QUERIES["gbt_match"](spark, SMALL)
+    assert seen.value.args == (DEFAULT,)
+
+
 def test_registered():
     import __spark_entry__ as entry
 
