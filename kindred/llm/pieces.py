@@ -12,19 +12,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.llm.jaccard import arrow_of
-from kindred.llm.shared import Store
+from kindred.llm.shared import Store, arrow_of, column, in_arrow, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Code points of a unit that the lattice handles; its borders are bits of a long. Others are merged by the workers.
-LONGEST, BUCKETS = 48, 256
-#: Units that a worker keeps at once, and texts that it handles at once.
-MOST_KNOWN, BLOCK = 80_000, 250
+LONGEST = 48
+#: Distinct units in a file of the dictionary and in a task of the lattice, about.
+BUCKET_UNITS, TASK_UNITS = 16_000, 20_000
+#: Chunks that a worker keeps at once, and texts that it handles at once.
+MOST_KNOWN, BLOCK = 120_000, 250
+#: A text's chunks where it has runs of spaces or U+2581.
+CHUNK = re.compile(f"\n[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
 @dataclass(frozen=True)
@@ -56,9 +59,22 @@ class Pieces:
         order = {x: i for i, x in enumerate(sorted({-sp.get_score(i) for i in ids.values()}))}
         return cls(names, [order.get(-sp.get_score(i), 0) for i in range(n)], byte, ids, max(map(len, ids)), unit)
 
-    def units(self, text: str | None) -> list[str]:
-        """A text in parts that no piece crosses: words with the spaces before them, marks, line breaks."""
-        return self.unit.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    @staticmethod
+    def chunks(text: str | None) -> list[str]:
+        """A text cut before each run of spaces and each line break. A chunk stands for the same units wherever it is: it is
+        written without its space where it has one, as most have, so that most texts are cut by str.split."""
+        if not text:
+            return []
+        if "\n" in text:
+            text = text.replace("\n", " \n")
+        if "  " in text or text[0] == " " or SPACE in text:
+            found = CHUNK.findall(SPACE + text.replace(" \n", "\n").replace(" ", SPACE))
+            return [c[1:] if c[0] == SPACE and c[1:2] != SPACE else c for c in found]
+        return text.split(" ")
+
+    def units(self, chunk: str) -> list[str]:
+        """A chunk in parts that no piece crosses: words with the spaces before them, marks, line breaks."""
+        return self.unit.findall(chunk if chunk[:1] in (SPACE, "\n") and chunk else SPACE + chunk)
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.first_byte + b for b in char.encode("utf-8", "surrogatepass")]
@@ -135,13 +151,15 @@ def unit_ids(found: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class Dictionary:
-    """Ids of units in files of the shared folder: sorted hashes, and where each unit's ids begin."""
+    """Ids of units in files of the shared folder: sorted hashes, and where each unit's ids begin. The number of files grows
+    with the number of units, so that a task that writes one holds a bounded number."""
 
-    def __init__(self, store: Store):
-        self.store, self.open = store, {}
+    def __init__(self, store: Store, bits: int, pieces: Pieces):
+        self.store, self.bits, self.pieces, self.open = store, bits, pieces, {}
+        self.pool, self.sizes, self.first = pool(pieces, SPACE)
 
     @staticmethod
-    def write(store: Store, found: DataFrame) -> None:
+    def write(store: Store, found: DataFrame, bits: int) -> None:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             b, keys = int(pdf["part"].iloc[0]), pdf["hash"].to_numpy(np.int64).view(np.uint64)
             order = np.argsort(keys)
@@ -152,13 +170,15 @@ class Dictionary:
             return pd.DataFrame({"n": [len(keys)]})
 
         keyed = found.select(F.xxhash64("unit").alias("hash"), "ids")
-        keyed.withColumn("part", F.shiftrightunsigned("hash", 56).cast("int")).groupBy("part").applyInPandas(run, "n long").agg(F.sum("n")).collect()
+        keyed.withColumn("part", F.shiftrightunsigned("hash", 64 - bits).cast("int")).groupBy("part").applyInPandas(run, "n long").agg(F.sum("n")).collect()
 
     def look_up(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of ids of each unit, and all the ids."""
-        hashes = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass"), 42) for u in wanted), np.uint64, len(wanted))
+        """Numbers of ids of each unit, and all the ids. What is found is compared with the unit; two units of one hash
+        can't be told apart by it, so such a unit is merged here."""
+        texts = [u.encode("utf-8", "surrogatepass") for u in wanted]
+        hashes = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts))
         order = np.argsort(hashes)
-        cuts = np.searchsorted(hashes[order], np.arange(1, BUCKETS, dtype=np.uint64) << np.uint64(56))
+        cuts = np.searchsorted(hashes[order], np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
         lengths, parts = np.zeros(len(wanted), np.int64), []
         for b, pick in enumerate(np.split(order, cuts)):
             if len(pick):
@@ -172,158 +192,195 @@ class Dictionary:
                 parts.append(ids[spread(starts[at], lengths[pick])])
         back = np.empty(len(order), np.int64)  # parts are in order of hashes; give them in the order asked
         back[order] = np.cumsum(lengths[order]) - lengths[order]
-        return lengths, np.concatenate([np.empty(0, np.int32), *parts])[spread(back, lengths)]
+        ids = np.concatenate([np.empty(0, np.int32), *parts])[spread(back, lengths)]
+        raw = self.pool[spread(self.first[ids], self.sizes[ids])].tobytes()
+        if raw != b"".join(texts):
+            ends = np.concatenate(([0], np.cumsum(self.sizes[ids])))[np.concatenate(([0], np.cumsum(lengths)))]
+            every = np.split(ids, np.cumsum(lengths)[:-1])
+            every = [own if raw[a:b] == t else np.array(self.pieces.merge(u), np.int32) for own, t, u, a, b in zip(every, texts, wanted, ends[:-1], ends[1:], strict=True)]
+            lengths, ids = np.fromiter(map(len, every), np.int64, len(every)), np.concatenate(every)
+        return lengths, ids
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... lengths[0] of them; then those of the next."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+def pool(pieces: Pieces, space: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all pieces, one behind the other, with their sizes and places; what stands for a space is given."""
+    held = [p.replace(SPACE, space).encode() for p in pieces.names]
+    for b in range(256):
+        held[pieces.first_byte + b] = bytes([b])
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    return np.frombuffer(b"".join(held), np.uint8), sizes, np.cumsum(sizes) - sizes
 
 
 class Known(dict):
-    """Numbers of units that a worker has seen, and their ids in one array."""
+    """Numbers of chunks that a worker has seen, and their ids in one array."""
 
     def __init__(self, pieces: Pieces, dictionary: Dictionary):
         super().__init__()
         self.pieces, self.dictionary = pieces, dictionary
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
         self.fresh: list[str] = []
         self.lengths, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
-    def __missing__(self, unit: str) -> int:
-        self.fresh.append(unit)
-        self[unit] = n = len(self)
+    def __missing__(self, chunk: str) -> int:
+        self.fresh.append(chunk)
+        self[chunk] = n = len(self)
         return n
 
+    def learn(self) -> None:
+        """Ids of the chunks that are new."""
+        cut = [self.pieces.units(c) for c in self.fresh]
+        number: dict[str, int] = {}
+        at = np.fromiter((number.setdefault(u, len(number)) for u in chain.from_iterable(cut)), np.int64)
+        listed = [u for u in number if in_lattice(u)]
+        lengths, ids = self.dictionary.look_up(listed)
+        other = {u: self.pieces.merge(u) for u in number if not in_lattice(u)}
+        if other:  # in the order of their numbers
+            every = iter(np.split(ids, np.cumsum(lengths)[:-1]))
+            cuts = [np.array(other[u], np.int32) if u in other else next(every) for u in number]
+            lengths, ids = np.fromiter(map(len, cuts), np.int64, len(cuts)), np.concatenate(cuts)
+        ends = np.concatenate(([0], np.cumsum(lengths[at])))
+        sizes = np.diff(ends[np.concatenate(([0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))))])
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.lengths = np.concatenate((self.lengths, sizes))
+        self.ids, self.fresh = np.concatenate((self.ids, ids[spread((np.cumsum(lengths) - lengths)[at], lengths[at])])), []
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of each text, and all the ids."""
         if len(self) > MOST_KNOWN:
-            self.clear()
-            self.lengths, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-        cut = [self.pieces.units(t) for t in texts]
+            self.forget()
+        cut = [self.pieces.chunks(t) for t in texts]
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64)
         if self.fresh:
-            listed = [u for u in self.fresh if in_lattice(u)]
-            lengths, ids = self.dictionary.look_up(listed)
-            other = {u: self.pieces.merge(u) for u in self.fresh if not in_lattice(u)}
-            if other:  # in the order of their numbers
-                every, cuts = iter(np.split(ids, np.cumsum(lengths)[:-1])), []
-                cuts = [np.array(other[u], np.int32) if u in other else next(every) for u in self.fresh]
-                lengths, ids = np.fromiter(map(len, cuts), np.int64, len(cuts)), np.concatenate(cuts)
-            self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(lengths) - lengths))
-            self.lengths, self.ids, self.fresh = np.concatenate((self.lengths, lengths)), np.concatenate((self.ids, ids)), []
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+            self.learn()
         each = self.lengths[at]
         ends = np.concatenate(([0], np.cumsum(each)))
-        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))))
         return np.diff(ends[bounds]), self.ids[spread(self.starts[at], each)]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1,000 rows at most in this session: texts beside their ids are large rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= 1000:
-        spark.conf.set(name, "1000")
-
-
-def by_blocks(df: DataFrame, column: str, added: str, start: Callable, dropped: tuple[str, ...] = ()) -> DataFrame:
+def by_blocks(df: DataFrame, name: str, added: str, start: Callable, dropped: tuple[str, ...] = ()) -> DataFrame:
     """df without the dropped columns, with those of a DDL string, made from blocks of one column by start()(array), which
-    gives Arrow arrays. Columns of df with the names of added ones are replaced."""
-    new = T._parse_datatype_string(added)
-    kept = [c for c in df.columns if c not in new.names and c not in dropped]
-    own = column if column in kept else "__in"
-    rows = df.select(*kept, *([F.col(column).alias("__in")] if own == "__in" else []))
-
+    gives Arrow arrays. Columns of df with the names of added ones (in any case of letters) are replaced."""
     def run(batches):
         make = start()
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *make(part.column(own))], names=[*kept, *new.names])
+                yield part.columns[1:], make(part.column(0))
 
-    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *new.fields]))
+    return in_arrow(df, [name], T._parse_datatype_string(added), run, dropped)
 
 
-def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """Adds ids (array of int) and n_tokens, as the model's own library gives them, to every row.
-
-    A text is cut into units that no piece crosses (a word with the spaces before it, the marks after it, a line break).
-    Distinct units go through unit_ids; the few with several spaces or over 48 characters are merged in the workers by the
-    same rule. The result is written as sorted hashes to the shared folder, where the workers map it, so that texts are never
-    exchanged; its files are needed whenever the result is read, and go when the driver's Python ends. Null and empty text
-    have no ids. Input columns of the results' names are replaced. An empty table gives an empty result. keep_text=False
-    leaves the text out of the result.
-    """
-    pieces = Pieces.read(model)
-    small_batches(docs.sparkSession)
+def dictionary(texts: DataFrame, pieces: Pieces) -> Callable[[], Known]:
+    """Ids of all distinct units of (text) in the shared folder; returns what opens them in a worker."""
+    spark = texts.sparkSession
 
     def seen(batches):
         known: set[str] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
-                fresh = set(chain.from_iterable(map(pieces.units, batch.column(0).slice(at, BLOCK).to_pylist()))).difference(known)
+                fresh = set(chain.from_iterable(map(pieces.chunks, batch.column(0).slice(at, BLOCK).to_pylist()))).difference(known)
                 if len(known) > 2 * MOST_KNOWN:
                     known.clear()
                 known.update(fresh)
-                yield pd.DataFrame({"unit": [u for u in fresh if in_lattice(u)]}, dtype=object)
+                yield pd.DataFrame({"unit": [u for u in set(chain.from_iterable(map(pieces.units, fresh))) if in_lattice(u)]}, dtype=object)
 
-    # a unit's edges take some ten times its room, so units are dealt to more tasks than their own size asks for
-    tasks = 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(arrow_of(seen, "unit string"), "unit string").repartition(tasks, "unit").distinct()
-    store = Store.new(docs.sparkSession, "units")
+    store = Store.new(spark, "units")
     store.delete_at_exit()
-    # an aggregate that sorts in memory: the one by hash hands its rows to a sorter on disk after a few units
-    name = "spark.sql.execution.useObjectHashAggregateExec"
-    before = docs.sparkSession.conf.get(name)
-    docs.sparkSession.conf.set(name, "false")
-    try:
-        Dictionary.write(store, unit_ids(found, pieces))
-    finally:
-        docs.sparkSession.conf.set(name, before)
+    # copies go in each task before units are exchanged
+    found = store.table(texts.mapInArrow(arrow_of(seen, "unit string"), "unit string").distinct(), "found")
+    n = found.count()
+    bits = max(6, (n // BUCKET_UNITS).bit_length())
+    # An aggregate that sorts in memory, in a session of its own: the one by hash hands its rows to a sorter on disk after a
+    # few units. A unit's edges take some ten times its room, so units are dealt to tasks by their number.
+    own = spark.newSession()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // TASK_UNITS)
+    own.conf.set("spark.sql.shuffle.partitions", str(tasks))
+    own.conf.set("spark.sql.execution.useObjectHashAggregateExec", "false")
+    listed = own.read.schema("unit string").parquet(f"{store.uri}/found").repartition(tasks, "unit")
+    Dictionary.write(store, unit_ids(listed, pieces), bits)
+    return lambda: Known(pieces, Dictionary(store, bits, pieces))
+
+
+def encode(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
+    """Adds ids (array of int) and n_tokens, as the model's own library gives them, to every row.
+
+    A text is cut into units that no piece crosses (a word with the spaces before it, the marks after it, a line break).
+    Distinct units go through unit_ids; the few with several spaces or over 48 characters are merged in the workers by the
+    same rule. The result is written as sorted hashes to the shared folder, where the workers map it and compare what they
+    find with the unit, so that texts are never exchanged; its files are needed whenever the result is read, and go when the
+    driver's Python ends. Null and empty text have no ids. Input columns of the results' names are replaced. An empty table
+    gives an empty result.
+    """
+    opened = dictionary(docs.select(column(text_col).alias("text")), Pieces.read(model))
 
     def start():
-        known = Known(pieces, Dictionary(store))
+        known = opened()
 
         def make(texts: pa.Array) -> list[pa.Array]:
             sizes, ids = known.encode(texts.to_pylist())
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())), pa.array(sizes, pa.int64())]
+            return lists_of(sizes, ids)
 
         return make
 
-    return by_blocks(docs, text_col, "ids array<int>, n_tokens long", start, () if keep_text else (text_col,))
+    return by_blocks(docs, text_col, "ids array<int>, n_tokens long", start)
+
+
+def lists_of(sizes: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32())), pa.array(sizes, pa.int64())]
+
+
+class Decoder:
+    def __init__(self, pieces: Pieces):
+        self.pool, self.sizes, self.first = pool(pieces, " ")
+
+    def texts(self, lengths: np.ndarray, ids: np.ndarray) -> list[str]:
+        """Texts of lists of ids, which lie one behind the other."""
+        sizes = self.sizes[ids]
+        raw = self.pool[spread(self.first[ids], sizes)].tobytes()
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(lengths)))].tolist()
+        # the first byte is the space that encoding puts before a text
+        return [raw[a + 1 : b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds the text of each row's ids. It is the encoded text, but for U+2581, which becomes a space. Null ids give null."""
     pieces = Pieces.read(model)
-    small_batches(rows.sparkSession)
 
     def start():
-        held = [p.replace(SPACE, " ").encode() for p in pieces.names]
-        for b in range(256):
-            held[pieces.first_byte + b] = bytes([b])
-        pool, lengths = np.frombuffer(b"".join(held), np.uint8), np.fromiter(map(len, held), np.int64, len(held))
-        first = np.cumsum(lengths) - lengths
+        own = Decoder(pieces)
 
         def make(lists: pa.Array) -> list[pa.Array]:
             ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw = pool[spread(first[ids], lengths[ids])].tobytes()
-            ends = np.concatenate(([0], np.cumsum(lengths[ids])))[np.concatenate(([0], np.cumsum(sizes)))].tolist()
-            # the first byte is the space that encoding puts before a text
-            texts = [raw[a + 1 : b].decode("utf-8", "replace") if valid else None for a, b, valid in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist(), strict=True)]
-            return [pa.array(texts, pa.string())]
+            found = zip(own.texts(sizes, ids), lists.is_valid().to_pylist(), strict=True)
+            return [pa.array([t if valid else None for t, valid in found], pa.string())]
 
         return make
 
-    return by_blocks(rows, ids_col, f"{text_col} string", start)
+    return by_blocks(rows, ids_col, f"`{text_col}` string", start)
 
 
-def encoded_and_checked(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs (doc_id, text, others) without text, with n_tokens, ids, and whether decoding gives the text again (by length and
-    64-bit hash, so that texts needn't travel beside their ids)."""
-    mark = lambda c: F.struct(F.xxhash64(F.coalesce(c, F.lit(""))), F.length(F.coalesce(c, F.lit(""))))
-    rows = decode(encode(docs.withColumn("own_mark", mark("text")), model, keep_text=False), model)
-    others = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded", "own_mark")]
-    return rows.select(*others, "n_tokens", "ids", (F.col("own_mark") == mark("decoded")).alias("round_trip"))
+def encoded_and_checked(docs: DataFrame, model: str = MODEL, text_col: str = "text") -> DataFrame:
+    """docs without text, with ids and n_tokens (see encode), and round_trip: whether the ids decode to the text again (null
+    counts as empty). Texts are decoded and compared where they are encoded, so neither ids nor texts travel for it. All
+    other columns stay; those of the results' names are replaced."""
+    pieces = Pieces.read(model)
+    opened = dictionary(docs.select(column(text_col).alias("text")), pieces)
+
+    def start():
+        known, own = opened(), Decoder(pieces)
+
+        def make(rows: pa.Array) -> list[pa.Array]:
+            texts = rows.to_pylist()
+            sizes, ids = known.encode(texts)
+            same = [t == (text or "") for t, text in zip(own.texts(sizes, ids), texts, strict=True)]
+            return [*lists_of(sizes, ids), pa.array(same, pa.bool_())]
+
+        return make
+
+    return by_blocks(docs, text_col, "ids array<int>, n_tokens long, round_trip boolean", start, (text_col,))

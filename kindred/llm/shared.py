@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +27,11 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 SLICE = 1000
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,16 +47,36 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def sampled_texts(docs: DataFrame, picked: DataFrame, most_bytes: int) -> dict:
+    """Texts of (id, text) by id, for the ids of picked (a table of bounded size), one for each id: the shortest, of equally
+    long ones the least. Ids are taken in an order by hash as long as their texts have most_bytes in all, so what comes to the
+    driver is bounded in rows and bytes; a text that is too large is passed over."""
+    own = docs.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("b", F.octet_length("text")).join(F.broadcast(picked.select("id")), "id")
+    kept, rest = [], most_bytes
+    for r in sorted(own.groupBy("id").agg(F.min("b").alias("b")).collect(), key=lambda r: (zlib.crc32(str(r.id).encode()), str(r.id))):
+        if r.b <= rest:
+            rest -= r.b
+            kept.append((r.id, r.b))
+    if not kept:
+        return {}
+    wanted = docs.sparkSession.createDataFrame(kept, own.select("id", "b").schema)
+    found = own.join(F.broadcast(wanted), ["id", "b"]).groupBy("id").agg(F.min("text").alias("text")).collect()
+    return {r.id: r.text for r in found}
+
+
 def md5_key(value: Column, digits: int) -> Column:
     """The first hex digits of md5 of a value's text as a long (15 digits at most); null counts as empty."""
     return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit(""))), 1, digits), 16, 10).cast("long")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder. Only where none is set, as in tests, a local one."""
+    """The folder that driver and executors share: the session's checkpoint folder. Where none is set, a local one, if all
+    tasks run in this process; ValueError on a cluster, whose executors couldn't read it."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir isn't set: driver and executors need a folder that they share")
         found = f"file://{tempfile.mkdtemp(prefix='kindred-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
@@ -63,7 +91,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 class Store:
     """Files below a folder of the shared file system. Local paths are memory-mapped where they lie; files of another
-    file system are first copied to the worker's own temporary folder, from where any worker can fetch them again."""
+    file system are first copied to the worker's own temporary folder. A copy has no name once it is mapped, so its room is
+    free again when the worker lets go of it or ends, however it ends."""
 
     def __init__(self, uri: str):
         self.uri = uri
@@ -91,38 +120,38 @@ class Store:
         from pyarrow import fs
 
         system, path = self._at(name)
-        if not isinstance(system, fs.LocalFileSystem):
-            local = f"{tempfile.gettempdir()}/{os.path.basename(self.uri)}-{name.replace('/', '-')}"
-            if not os.path.exists(local):
-                fs.copy_files(path, draft := f"{local}.{uuid.uuid4().hex}", source_filesystem=system)
-                os.replace(draft, local)
-            path = local
-        if not os.path.exists(path) or not os.path.getsize(path):
+        if not system.get_file_info(path).size:
             return np.empty(0, dtype)
-        return np.memmap(path, dtype, "r")
+        if isinstance(system, fs.LocalFileSystem):
+            return np.memmap(path, dtype, "r")
+        with tempfile.TemporaryDirectory() as own:
+            fs.copy_files(path, f"{own}/copy", source_filesystem=system)
+            return np.memmap(f"{own}/copy", dtype, "r")
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """df, written as Parquet and read again."""
         df.write.parquet(f"{self.uri}/{name}", compression="zstd")
         return df.sparkSession.read.schema(df.schema).parquet(f"{self.uri}/{name}")
 
+    def drop(self, name: str) -> None:
+        """Deletes a table."""
+        system, path = self._at(name)
+        with contextlib.suppress(OSError):
+            system.delete_dir(path)
+
     def delete_at_exit(self) -> None:
         """For files that a result needs whenever it is read."""
         atexit.register(self.delete)
 
     def delete(self) -> None:
-        system, path = self._at("")
-        with contextlib.suppress(OSError):
-            system.delete_dir(path)
+        self.drop("")
 
 
-def with_columns(df: DataFrame, inputs: list[str], added: str, make: Callable[..., Iterable[tuple]]) -> DataFrame:
-    """df with more columns (a DDL string), row by row: make gets a list for each input and yields a tuple for each row. Runs
-    on Arrow batches, so longs beside nulls stay exact. Columns of df with the names of added ones are replaced."""
+def with_columns(df: DataFrame, inputs: list[str], added: str, make: Callable[..., Iterable[tuple]], dropped: tuple[str, ...] = ()) -> DataFrame:
+    """df without the dropped columns, with more (a DDL string), row by row: make gets a list for each input and yields a
+    tuple for each row. Runs on Arrow batches, so longs beside nulls stay exact. Columns of df with the names of added ones
+    (in any case of letters) are replaced; all others stay, whatever their names are."""
     new = T._parse_datatype_string(added)
-    held = {c: f"__in{i}" if c in new.names else c for i, c in enumerate(inputs)}
-    rows = df.select(*(F.col(c) for c in df.columns if c not in new.names), *(F.col(c).alias(n) for c, n in held.items() if c != n))
-    kept = [f for f in rows.schema.fields if not f.name.startswith("__in")]
 
     def run(batches):
         import pyarrow as pa
@@ -130,12 +159,81 @@ def with_columns(df: DataFrame, inputs: list[str], added: str, make: Callable[..
 
         kinds = [to_arrow_type(f.dataType) for f in new.fields]
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, max(1, b.num_rows), SLICE)):
-            made = list(make(*(batch.column(n).to_pylist() for n in held.values())))
+            made = list(make(*(batch.column(i).to_pylist() for i in range(len(inputs)))))
             columns = list(zip(*made, strict=True)) if made else [[] for _ in kinds]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *arrays], names=[*(f.name for f in kept), *new.names])
+            yield batch.columns[len(inputs) :], [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+
+    return in_arrow(df, inputs, new, run, dropped)
+
+
+def in_arrow(df: DataFrame, inputs: Iterable[str], new: T.StructType, run: Callable, dropped: tuple[str, ...] = ()) -> DataFrame:
+    """df without the dropped columns and those with names of new ones, and with the new ones. run gets Arrow batches, inputs
+    first, and yields arrays of the columns that stay and of the new ones. Columns have plain names on the way, as names with
+    dots aren't found there."""
+    gone = {n.lower() for n in (*new.names, *dropped)}
+    taken, kept = [column(c) for c in inputs], [c for c in df.columns if c.lower() not in gone]
+    rows = df.select(*(c.alias(f"i{k}") for k, c in enumerate(taken)), *(column(c).alias(f"c{k}") for k, c in enumerate(kept)))
+    fields = [*rows.schema.fields[len(taken) :], *(T.StructField(f"n{k}", f.dataType) for k, f in enumerate(new.fields))]
+
+    def arrow(batches):
+        import pyarrow as pa
+
+        for stay, made in run(batches):
+            yield pa.RecordBatch.from_arrays([*stay, *made], names=[f.name for f in fields])
+
+    out = rows.mapInArrow(arrow, T.StructType(fields))
+    return out.select(*(F.col(f.name).alias(n) for f, n in zip(fields, (*kept, *new.names), strict=True)))
+
+
+def held(df: DataFrame, replaced: Iterable[str], **made: Column) -> DataFrame:
+    """The made columns, and in "row" all columns of df but those with replaced names (in any case of letters): so no name of
+    theirs can clash."""
+    gone = {n.lower() for n in replaced}
+    kept = [column(c).alias(c) for c in df.columns if c.lower() not in gone]
+    return df.select(F.struct(*kept, F.lit(None).cast("boolean").alias("_")).alias("row"), *(c.alias(n) for n, c in made.items()))
+
+
+def released(rows: DataFrame, **made: Column) -> DataFrame:
+    """The columns in "row", as they were, with the made ones behind them."""
+    names = rows.schema["row"].dataType.names[:-1]
+    return rows.select(*(F.col("row").getField(n).alias(n) for n in names), *(c.alias(n) for n, c in made.items()))
+
+
+def arrow_of(run: Callable, schema: str) -> Callable:
+    """For mapInArrow: run yields pandas frames of a DDL schema."""
+    kind = T._parse_datatype_string(schema)
+
+    def arrow(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        for pdf in run(batches):
+            yield pa.RecordBatch.from_pandas(pdf, schema=to_arrow_schema(kind), preserve_index=False)
+
+    return arrow
+
+
+class Hasher(dict):
+    """64-bit hashes of words, kept for words that come again."""
+
+    def __init__(self, most: int = 250_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def __call__(self, found: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
 
-    return rows.mapInArrow(run, T.StructType([*kept, *new.fields]))
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... lengths[0] of them; then those of the next."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

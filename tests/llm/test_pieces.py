@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -54,3 +55,34 @@ def test_lattice_equals_merging(spark):
 def test_null_ids(spark):
     rows = P.decode(spark.range(2).select(F.when(F.col("id") == 0, F.array(F.lit(264))).alias("ids"))).collect()
     assert sorted(map(str, (r.decoded for r in rows))) == ["None", "a"]
+
+
+def test_names(spark):
+    docs = spark.createDataFrame([(1, "some text", 2, 3, 4)], "doc_id long, `my.text` string, own_mark int, `a.b` int, IDS int")
+    rows = P.encoded_and_checked(docs, text_col="my.text")
+    assert rows.columns == ["doc_id", "own_mark", "a.b", "ids", "n_tokens", "round_trip"]
+    assert [(r["a.b"], r.own_mark, r.n_tokens, r.round_trip) for r in rows.collect()] == [(3, 2, 2, True)]
+    again = P.decode(rows, text_col="my.text").collect()
+    assert [r["my.text"] for r in again] == ["some text"]
+
+
+def test_equal_hashes(spark, monkeypatch):
+    """Units that the dictionary can't tell apart by their hashes get their own ids."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha beta", "gamma delta", "beta"])], "doc_id long, text string")
+    own = P.Pieces.read(P.MODEL)
+    known = P.dictionary(docs.select("text"), own)()
+    units = ["▁alpha", "▁beta"]
+    lengths, ids = known.dictionary.look_up(units)
+    keys, starts, all_ids = known.dictionary.open[next(iter(known.dictionary.open))]
+    assert ids.tolist() == [i for u in units for i in own.merge(u)]
+    for b in known.dictionary.open.values():
+        b[2] = np.roll(np.array(b[2]), 1)  # as if another unit had come first
+    lengths, ids = known.dictionary.look_up(units)
+    assert ids.tolist() == [i for u in units for i in own.merge(u)] and lengths.tolist() == [len(own.merge(u)) for u in units]
+
+
+def test_chunks_hold_the_units_of_the_text():
+    own, r = P.Pieces.read(P.MODEL), random.Random(3)
+    for t in ODD + ["".join(r.choice(" a.\n▁\t,é") for _ in range(r.randint(0, 30))) for _ in range(3000)]:
+        whole = own.unit.findall(P.SPACE + t.replace(" ", P.SPACE)) if t else []
+        assert [u for c in own.chunks(t) for u in own.units(c)] == whole, repr(t)
