@@ -102,7 +102,12 @@ def compatible(found: DataFrame, probes: DataFrame, looked_up: DataFrame) -> Dat
 
 def candidates(probes: DataFrame, targets: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """(s1_id, target_id, score, rank): the best targets of each entity; ties by what was hit first."""
-    found = compatible(hits(last_rows(probes), postings(targets, settings), settings), probes, attributes(targets))
+    return candidates_from(probes, postings(targets, settings), attributes(targets), settings)
+
+
+def candidates_from(probes: DataFrame, posted: DataFrame, looked_up: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """candidates() with postings and attributes of the targets that are made already."""
+    found = compatible(hits(last_rows(probes), posted, settings), probes, looked_up)
     best = Window.partitionBy("s1_id").orderBy(F.desc("score"), "first_hit")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= settings.top).select("s1_id", "target_id", "score", "rank")
 

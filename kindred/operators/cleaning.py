@@ -44,6 +44,37 @@ def top_countries(rows: DataFrame, n: int = 5) -> DataFrame:
     return rows.groupBy("country").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.col("country").asc_nulls_last()).limit(n)
 
 
+def shape(rows: DataFrame) -> DataFrame:
+    """(rows, columns, names): one row; names are in order, separated by commas."""
+    named = [c for c in rows.columns if c != "ord"]
+    return rows.agg(F.count(F.lit(1)).alias("rows")).withColumns({"columns": F.lit(len(named)).cast("long"), "names": F.lit(",".join(named))})
+
+
+def first_rows(rows: DataFrame, n: int = 3) -> DataFrame:
+    """The first n rows in file order."""
+    return rows.orderBy("ord").limit(n)
+
+
+def inspect(rows: DataFrame) -> dict:
+    """Shape, missing values by column, repeated ids, most frequent countries and first rows of one table. Ids and countries
+    are looked at where the table has them."""
+    key = next((c for c in ("entity_id", "source1_entity_id") if c in rows.columns), None)
+    size = shape(rows).first()
+    return {
+        "rows": size["rows"],
+        "columns": size["names"].split(",") if size["names"] else [],
+        "missing": {r.column_name: [r.nulls, r.null_percent] for r in profile(rows).collect()},
+        "repeated_ids": duplicate_keys(rows, key).first()["duplicates"] if key else None,
+        "top_countries": [[r.country, r["rows"]] for r in top_countries(rows).collect()] if "country" in rows.columns else None,
+        "first_rows": [[r[c] for c in rows.columns if c != "ord"] for r in first_rows(rows).collect()],
+    }
+
+
+def inspect_all(tables: dict[str, DataFrame]) -> dict[str, dict]:
+    """inspect() of every table."""
+    return {name: inspect(rows) for name, rows in tables.items()}
+
+
 def check_clean(before: DataFrame, after: DataFrame) -> DataFrame:
     """(check_name, violations): row count, ids by ord, unchanged originals (null and '' are alike), added columns, countries."""
     lacking = [c for c in ADDED if c not in after.columns]

@@ -91,19 +91,37 @@ def feature_columns(a: str = "a", b: str = "b") -> dict[str, Column]:
 
 def joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """pairs (s1_id, target_id) with the structs a and b of their prepared entities; pairs with an unknown side go."""
-    a = prepared(left).select(F.col("entity_id").alias("s1_id"), F.struct("*").alias("a"))
-    b = prepared(right).select(F.col("entity_id").alias("target_id"), F.struct("*").alias("b"))
+    return _joined(pairs, prepared(left), prepared(right))
+
+
+def _joined(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    a = left.select(F.col("entity_id").alias("s1_id"), F.struct("*").alias("a"))
+    b = right.select(F.col("entity_id").alias("target_id"), F.struct("*").alias("b"))
     return pairs.join(a, "s1_id").join(b, "target_id")
 
 
+def with_vectors(left: DataFrame, right: DataFrame, provider: embedding.Provider | None) -> tuple[DataFrame, DataFrame, Column]:
+    """Prepared entities with their vectors, and the similarity of the structs a and b. Vectors are made once for each entity
+    and travel with it: the offline ones as counts of the trigrams that occur; those of a provider by distinct text."""
+    line = N.entity_text(*(F.col(c) for c in ("name", "address", "country")))
+    left, right = left.withColumn("text", line), right.withColumn("text", line)
+    if provider is not None and provider.available():
+        vectors = provider.vectors(left.select("text").union(right.select("text")))
+        if not provider.failed:
+            left, right = (x.join(vectors, "text", "left").drop("text") for x in (left, right))
+            return left, right, F.coalesce(embedding.cosine(F.col("a.vector"), F.col("b.vector")), F.lit(0.0))
+    size = provider.size if provider is not None else embedding.DEFAULT.embedding
+    left, right = (embedding.with_counts(x, F.col("text"), size).drop("text") for x in (left, right))
+    right = right.withColumn("placed", embedding.by_place(F.col("grams"))).drop("grams")
+    return left, right, embedding.counted_cosine(F.col("a.grams"), F.col("a.norm"), F.col("b.placed"), F.col("b.norm"))
+
+
 def pair_features(pairs: DataFrame, left: DataFrame, right: DataFrame, semantic: bool = True, provider: embedding.Provider | None = None) -> DataFrame:
     """Adds the features to pairs; left and right are (entity_id, name, address, country) with one row for each id."""
-    rows = joined(pairs, left, right)
-    line = lambda s: N.entity_text(*(F.col(f"{s}.{c}") for c in ("name", "address", "country")))
-    made = rows.select(*pairs.columns, *(c.alias(n) for n, c in feature_columns().items()), *([line("a").alias("__a"), line("b").alias("__b")] if semantic else []))
-    if not semantic:
-        return made.withColumn("semantic_similarity", F.lit(0.0))
-    return embedding.similarities(made, "__a", "__b", provider).drop("__a", "__b")
+    a, b, similarity = prepared(left), prepared(right), F.lit(0.0)
+    if semantic:
+        a, b, similarity = with_vectors(a, b, provider)
+    return _joined(pairs, a, b).select(*pairs.columns, *(c.alias(n) for n, c in feature_columns().items()), similarity.alias("semantic_similarity"))
 
 
 def rule_score() -> Column:

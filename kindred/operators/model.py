@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -13,15 +16,32 @@ from kindred.config import DEFAULT, Settings
 from kindred.operators.features import FEATURES
 
 
-def fit(rows: DataFrame, settings: Settings = DEFAULT, label: str = "label") -> PipelineModel:
-    """Rows have the features and a label of 0 or 1; the feature order is part of the model. The rows are kept on disk while
-    the trees are grown, as each of them reads them again."""
-    trees = GBTClassifier(
-        featuresCol="features", labelCol=label, maxIter=settings.trees, stepSize=settings.rate, maxDepth=settings.depth, minInstancesPerNode=settings.least_in_node, subsamplingRate=settings.subsample, featureSubsetStrategy=str(settings.subsample), seed=settings.seed
-    )
+KINDS = ("boosted", "plain")
+
+
+def classifier(kind: str, settings: Settings, label: str) -> GBTClassifier:
+    """boosted: all settings. plain: the fallback, with rounds, rate, depth and seed only; every row and feature counts."""
+    own = GBTClassifier(featuresCol="features", labelCol=label, maxIter=settings.trees, stepSize=settings.rate, maxDepth=settings.depth, seed=settings.seed)
+    if kind == "plain":
+        return own
+    return own.setMinInstancesPerNode(settings.least_in_node).setSubsamplingRate(settings.subsample).setFeatureSubsetStrategy(str(settings.subsample))
+
+
+def fit(rows: DataFrame, settings: Settings = DEFAULT, label: str = "label", kind: str = "boosted") -> PipelineModel:
+    """Rows have the features and a label of 0 or 1; the feature order is part of the model. If the classifier of this kind
+    can't be set up or fitted, the plain one is, with a warning. The rows are kept on disk while the trees are grown, as each
+    of them reads them again."""
+    if kind not in KINDS:
+        raise ValueError(f"{kind} is none of {', '.join(KINDS)}")
     kept = rows.select(*FEATURES, F.col(label).cast("double").alias(label)).persist()
     try:
-        return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), trees]).fit(kept)
+        for k in KINDS[KINDS.index(kind) :]:
+            try:
+                return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), classifier(k, settings, label)]).fit(kept)
+            except (TypeError, ValueError, PySparkException) as e:
+                if k == KINDS[-1]:
+                    raise
+                warnings.warn(f"no model of kind {k} ({type(e).__name__}: {str(e)[:200]}); the plain one is fitted", stacklevel=2)
     finally:
         kept.unpersist()
 

@@ -229,6 +229,14 @@ def profile_top_countries(spark, sf_dir):
     return cleaning.top_countries(Directory(spark, sf_dir).raw)
 
 
+def profile_shape(spark, sf_dir):
+    return cleaning.shape(Directory(spark, sf_dir).raw.drop("truth_key"))
+
+
+def profile_first_rows(spark, sf_dir):
+    return cleaning.first_rows(Directory(spark, sf_dir).raw).select("entity_id", "business_name", "business_address", "country")
+
+
 def validate_clean(spark, sf_dir):
     d = Directory(spark, sf_dir)
     return cleaning.check_clean(d.raw, d.clean)
@@ -248,7 +256,7 @@ def submission_summary(spark, sf_dir):
 def gbt_match(spark, sf_dir):
     """Probabilities by a model of the default settings, trained on the pairs that blocking finds."""
     d = Directory(spark, sf_dir)
-    found = d.found().persist()
+    found = d.found()
     made = pairs.training_pairs(found, d.truth, d.targets, 10)
     trained = model.fit(pair_features(made, d.left, d.right), DEFAULT)
     return model.predict(trained, pair_features(found, d.left, d.right)).select("s1_id", "target_id", F.round("score", 6).alias("score"))
@@ -309,6 +317,8 @@ QUERIES: dict[str, Query] = {
     "profile_nulls": profile_nulls,
     "profile_duplicates": profile_duplicates,
     "profile_top_countries": profile_top_countries,
+    "profile_shape": profile_shape,
+    "profile_first_rows": profile_first_rows,
     "validate_clean": validate_clean,
     "validate_submission": validate_submission,
     "submission_summary": submission_summary,
@@ -539,9 +549,11 @@ SQL = {
     "entity_fbeta": f"SELECT s1_id, n_true, n_predicted, n_both, round({_P}, 6) AS precision, round({_R}, 6) AS recall, round({_F}, 6) AS f FROM counts",
     "macro_metrics": f"""SELECT round(avg({_P}), 6) AS macro_precision, round(avg({_R}), 6) AS macro_recall, round(avg({_F}), 6) AS macro_f, CAST(sum(n_predicted) AS BIGINT) AS total_predicted_matches,
         count(*) FILTER (n_predicted = 0) AS zero_prediction_s1_count, count(*) FILTER (n_true = 0) AS singleton_s1_count,
-        count(*) FILTER (n_predicted = 0 AND n_true = 0) AS correct_singleton_count, count(*) AS total_evaluated_s1 FROM counts""",
-    "threshold_sweep": "SELECT * FROM sweep",
-    "best_threshold": "SELECT * FROM sweep ORDER BY macro_f DESC, threshold LIMIT 1",
+        count(*) FILTER (n_predicted = 0 AND n_true = 0) AS correct_singleton_count, count(*) AS total_evaluated_s1, 'blocked' AS pairs_mode FROM counts""",
+    "threshold_sweep": "SELECT *, 'blocked' AS pairs_mode FROM sweep",
+    "best_threshold": "SELECT *, 'blocked' AS pairs_mode FROM sweep ORDER BY macro_f DESC, threshold LIMIT 1",
+    "profile_shape": "SELECT count(*) AS rows, CAST(4 AS BIGINT) AS columns, 'entity_id,business_name,business_address,country' AS names FROM er",
+    "profile_first_rows": "SELECT entity_id, business_name, business_address, country FROM er ORDER BY ord LIMIT 3",
     "profile_nulls": _nulls(),
     "profile_duplicates": "SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_keys, CAST(sum(n) - count(*) AS BIGINT) AS duplicates FROM (SELECT business_address, count(*) AS n FROM er GROUP BY 1)",
     "profile_top_countries": "SELECT country, count(*) AS rows FROM er GROUP BY 1 ORDER BY 2 DESC, 1 NULLS LAST LIMIT 5",

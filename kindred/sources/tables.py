@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import warnings
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,15 +27,25 @@ def header(spark: SparkSession, path: str, sep: str) -> list[str]:
     return first[0][0].rstrip("\r").lstrip("﻿").split(sep) if first else []
 
 
-def read_table(spark: SparkSession, path: str, required: tuple[str, ...] = SOURCE_COLUMNS, sep: str = "\t", missing: bool = True) -> DataFrame:
-    """A delimited file with a header, all columns text; ValueError if a required column isn't there. Extra columns stay.
-    Quotes are doubled within quotes and may hold line breaks. missing: texts that stand for missing ones become null.
+def read_table(spark: SparkSession, path: str, required: tuple[str, ...] = SOURCE_COLUMNS, sep: str = "\t", missing: bool = True, multiline: bool = True) -> DataFrame:
+    """A delimited file with a header, or a folder of such files, all columns text; ValueError if a required column isn't
+    there. Extra columns stay. Quotes are doubled within quotes and may hold line breaks; a file is one task then, so give
+    multiline=False for large files whose fields have none: they are split. missing: texts that stand for missing ones become
+    null.
 
-    ord numbers the rows in file order; it is taken right at the scan, so keep the table in Parquet from here on."""
+    ord numbers the rows by file name, then by place in the file; it is taken right at the scan, so keep the table in Parquet
+    from here on."""
     names = header(spark, path, sep)
     if lacking := [c for c in required if c not in names]:
         raise ValueError(f"{path}: missing columns {lacking}; found {names}")
-    rows = spark.read.schema(text_schema(names)).csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    options = dict(sep=sep, header=True, quote='"', escape='"', multiLine=multiline, encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    read = lambda at: spark.read.schema(text_schema(names)).csv(at, **options)
+    rows = read(path)
+    files = sorted(rows.inputFiles())
+    if len(files) > 1:  # one scan would deal files to tasks by their sizes; partitions of a union are in its order
+        rows = read(files[0])
+        for f in files[1:]:
+            rows = rows.union(read(f))
     if missing:
         rows = rows.select(*(F.when(~F.col(c).isin(*MISSING), F.col(c)).alias(c) for c in names))
     return rows.withColumn("ord", F.monotonically_increasing_id())
@@ -50,9 +62,9 @@ def find_data_paths(root: str) -> tuple[Path, Path]:
     return found[0], found[1]
 
 
-def load_all(spark: SparkSession, train: str, test: str) -> dict[str, DataFrame]:
+def load_all(spark: SparkSession, train: str, test: str, multiline: bool = True) -> dict[str, DataFrame]:
     """The seven tables of a data set, none of them read yet."""
-    tables = {f"{part}_source{i}": read_table(spark, f"{path}/{part}_source{i}.tsv") for part, path in (("train", train), ("test", test)) for i in (1, 2, 3)}
+    tables = {f"{part}_source{i}": read_table(spark, f"{path}/{part}_source{i}.tsv", multiline=multiline) for part, path in (("train", train), ("test", test)) for i in (1, 2, 3)}
     return tables | {"train_ground_truth": read_table(spark, f"{train}/train_ground_truth.tsv", TRUTH_COLUMNS, missing=False)}
 
 
@@ -66,6 +78,17 @@ def load_clean(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}_clean")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a written table is there."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return False
+    return True
+
+
 def split_ids(ids: Column) -> Column:
     """Ids of a comma-separated list, trimmed, without blanks; [] for null."""
     return F.filter(F.transform(F.split(F.coalesce(ids, F.lit("")), ","), lambda x: F.btrim(x)), lambda x: x != "")
@@ -92,14 +115,26 @@ def write_lists(lists: DataFrame, path: str, single: bool = False) -> None:
     (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", quote='"', escape='"')
 
 
-def save_log(path: str, entries: dict) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(entries, indent=2, sort_keys=True))
+def save_log(spark: SparkSession, path: str, entries: dict) -> None:
+    """JSON of one entry a run, through Spark's writer, so that it lies in any store that the tables lie in (a folder there)."""
+    spark.createDataFrame([(json.dumps(entries, indent=2, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def logged_threshold(path: str, default: float) -> float:
-    """The threshold of the last training run, or the default."""
+def load_log(spark: SparkSession, path: str) -> dict | None:
+    """What save_log wrote; None if nothing is there."""
     try:
-        return float(json.loads(Path(path).read_text())["best_threshold"])
-    except (OSError, ValueError, KeyError):
+        return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def logged_threshold(spark: SparkSession, path: str, default: float) -> float:
+    """The threshold of the last training run, or the default, with a warning, where there is none. A log that can't be read
+    is an error."""
+    log = load_log(spark, path)
+    if log is None:
+        warnings.warn(f"no log at {path}; the threshold is {default}", stacklevel=2)
         return default
+    return float(log["best_threshold"])

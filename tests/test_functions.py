@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import embedding, sets
 from kindred.functions import normalize as N
+from kindred.operators.features import pair_features
 
 NAMES = {
     "Sharma Sweets Pvt. Ltd.": "sharma sweets private limited",
@@ -80,7 +81,89 @@ def test_embedding(spark):
     assert rows["ab"] == rows[""] == [0.0] * 256
 
 
-def test_similarity_uses_the_provider(spark):
-    pairs = spark.createDataFrame([("a", "b"), ("a", "a"), ("a", None)], "x string, y string")
-    mine = embedding.Provider(lambda texts: [[1.0, 0.0] if t == "a" else [0.6, 0.8] for t in texts], size=2)
-    assert sorted(r.semantic_similarity for r in embedding.similarities(pairs, "x", "y", mine).collect()) == pytest.approx([0.0, 0.6, 1.0])
+ENTITIES = "entity_id string, name string, address string, country string"
+
+
+def similarity(spark, provider):
+    left = spark.createDataFrame([("S1-1", "sharma sweets", "", ""), ("S1-2", None, None, None)], ENTITIES)
+    right = spark.createDataFrame([("S2-1", "sharma sweets", "", ""), ("S2-2", "other things", "", "")], ENTITIES)
+    pairs = left.select(F.col("entity_id").alias("s1_id")).crossJoin(right.select(F.col("entity_id").alias("target_id")))
+    return {(r.s1_id[-1], r.target_id[-1]): r.semantic_similarity for r in pair_features(pairs, left, right, provider=provider).collect()}
+
+
+def offline(a, b):
+    def vector(text):
+        out = {}
+        for i in range(len(text) - 2):
+            k = int(hashlib.md5(text[i : i + 3].lower().encode()).hexdigest()[:7], 16) % 256
+            out[k] = out.get(k, 0) + 1
+        return out
+
+    u, v = vector(a), vector(b)
+    return sum(n * v.get(k, 0) for k, n in u.items()) / math.sqrt(sum(n * n for n in u.values()) * sum(n * n for n in v.values()))
+
+
+LINE = "Business: {} | Address:  | Country: "
+
+
+def test_offline_similarity(spark):
+    got = similarity(spark, None)
+    for (i, a) in (("1", "sharma sweets"), ("2", "")):
+        for (j, b) in (("1", "sharma sweets"), ("2", "other things")):
+            assert got[i, j] == pytest.approx(offline(LINE.format(a), LINE.format(b)))
+
+
+def test_provider(spark):
+    def connect():
+        return lambda texts: [[1.0, 0.0] if "sharma" in t else [0.6, 0.8] for t in texts]
+
+    got = similarity(spark, embedding.Provider(connect, size=2))
+    assert got == pytest.approx({("1", "1"): 1.0, ("1", "2"): 0.6, ("2", "1"): 0.6, ("2", "2"): 1.0})
+
+
+@pytest.mark.parametrize("kind", ["no client", "client fails", "call fails"])
+def test_a_failing_provider_falls_back_for_good(spark, kind):
+    def connect():
+        if kind == "client fails":
+            raise OSError("no route")
+
+        def call(texts):
+            raise TimeoutError("too late")
+
+        return call if kind == "call fails" else None
+
+    own = embedding.Provider(connect)
+    if kind == "no client":
+        assert similarity(spark, own) == similarity(spark, None)
+    else:
+        with pytest.warns(UserWarning, match="offline"):
+            assert similarity(spark, own) == similarity(spark, None)
+    own.connect = lambda: lambda texts: [[1.0] for _ in texts]  # it would work now, but isn't asked again
+    assert not own.available() and similarity(spark, own) == similarity(spark, None)
+
+
+def test_cached_vectors_are_not_asked_for_again(spark, tmp_path):
+    cache = f"file://{tmp_path}/vectors"
+    first = similarity(spark, embedding.Provider(lambda: lambda texts: [[float("sharma" in t), float("sharma" not in t)] for t in texts], cache))
+
+    def connect():
+        def call(texts):
+            raise AssertionError(texts)
+
+        return call
+
+    again = embedding.Provider(connect, cache)
+    assert similarity(spark, again) == first == pytest.approx({("1", "1"): 1.0, ("1", "2"): 0.0, ("2", "1"): 0.0, ("2", "2"): 1.0})
+    assert not again.failed
+
+
+def test_counts_by_place(spark):
+    rows = embedding.with_counts(spark.createDataFrame([("aaaa bcd aaa",), ("ab",), (None,)], "t string"), F.col("t"), 16)
+    got = rows.select("t", "grams", "norm", embedding.by_place(F.col("grams")).alias("p")).collect()
+    for r in got:
+        counts = {}
+        for i in range(len(r.t or "") - 2):
+            k = int(hashlib.md5(r.t[i : i + 3].encode()).hexdigest()[:7], 16) % 16
+            counts[k] = counts.get(k, 0) + 1
+        assert [(x.b, x.n) for x in r.grams] == sorted(counts.items()) and r.norm == pytest.approx(math.sqrt(sum(n * n for n in counts.values())))
+        assert r.p == [counts.get(k, 0) for k in range(max(counts, default=-1) + 1)]

@@ -166,3 +166,51 @@ def test_sample_of_a_large_table(spark):
     plain = [r.entity_id for r in rows.orderBy(pairs.place(F.col("entity_id")), "ord").limit(50).collect()]
     assert [r.entity_id for r in pairs.sample(rows, 50).collect()] == plain
     assert pairs.sample(rows, 5000).count() == 3000
+
+
+def test_probabilities_follow_the_trees(spark):
+    """Probabilities of a small model against its trees, walked in plain Python."""
+    import math
+    import random
+    import re
+    from dataclasses import replace
+
+    from kindred.config import DEFAULT
+    from kindred.operators import model
+
+    r = random.Random(5)
+    data = [{f: r.random() for f in FEATURES} for _ in range(300)]
+    for x in data:
+        x["label"] = int(x["name_token_jaccard"] + 0.3 * x["semantic_similarity"] > 0.7)
+    rows = spark.createDataFrame([tuple(x[c] for c in (*FEATURES, "label")) for x in data], ", ".join(f"{f} double" for f in FEATURES) + ", label int")
+    for kind in model.KINDS:
+        own = model.fit(rows, replace(DEFAULT, trees=2, depth=3), kind=kind)
+        trees, weights = own.stages[-1].trees, own.stages[-1].treeWeights
+        lines = [[x.strip() for x in t.toDebugString.split("\n")[1:] if x.strip()] for t in trees]
+
+        def value(todo, x):
+            """The leaf that x comes to, reading the lines of a tree from the top."""
+            if m := re.match(r"Predict: (\S+)", todo[0]):
+                return float(m[1]), todo[1:]
+            f, cut = re.match(r"If \(feature (\d+) <= (\S+)\)", todo[0]).groups()
+            low, rest = value(todo[1:], x)
+            high, rest = value(rest[1:], x)
+            return (low if x[FEATURES[int(f)]] <= float(cut) else high), rest
+
+        for got in model.predict(own, rows).collect():
+            margin = sum(w * value(t, got)[0] for w, t in zip(weights, lines, strict=True))
+            assert got.score == pytest.approx(1 / (1 + math.exp(-2 * margin)))
+
+
+def test_the_plain_model_is_the_fallback(spark):
+    from dataclasses import replace
+
+    from kindred.config import DEFAULT
+    from kindred.operators import model
+
+    rows = spark.createDataFrame([(*[float(i % 2)] * len(FEATURES), i % 2) for i in range(40)], ", ".join(f"{f} double" for f in FEATURES) + ", label int")
+    with pytest.warns(UserWarning, match="plain"):
+        own = model.fit(rows, replace(DEFAULT, trees=1, depth=2, subsample=7.0))
+    assert own.stages[-1].getSubsamplingRate() == 1.0
+    with pytest.raises(ValueError, match="none of"):
+        model.fit(rows, kind="other")

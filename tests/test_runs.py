@@ -61,11 +61,37 @@ def test_paths(folders, tmp_path):
         tables.find_data_paths(str(tmp_path))
 
 
-def test_log(tmp_path):
-    path = str(tmp_path / "x" / "log.json")
-    assert tables.logged_threshold(path, 0.65) == 0.65
-    tables.save_log(path, {"best_threshold": 0.72})
-    assert tables.logged_threshold(path, 0.65) == 0.72
+def test_log(spark, tmp_path):
+    path = f"file://{tmp_path}/x/log"  # by Spark's file system, whatever the scheme
+    with pytest.warns(UserWarning, match="0.65"):
+        assert tables.logged_threshold(spark, path, 0.65) == 0.65
+    for t in (0.5, 0.72):
+        tables.save_log(spark, path, {"best_threshold": t})
+    assert tables.logged_threshold(spark, path, 0.65) == 0.72 and (tmp_path / "x" / "log").is_dir()
+    tables.save_log(spark, path, {"other": 1})
+    with pytest.raises(KeyError):
+        tables.logged_threshold(spark, path, 0.65)
+
+
+def test_files_are_numbered_by_name(spark, tmp_path):
+    """Whatever their sizes: one scan would take the largest first."""
+    for k, n in ((1, 3), (2, 2000), (3, 10)):
+        write(tmp_path / "in" / f"part{k}.tsv", tables.SOURCE_COLUMNS, [[f"S1-{k}-{i}", "n", "a", "c"] for i in range(n)])
+    want = [f"S1-{k}-{i}" for k, n in ((1, 3), (2, 2000), (3, 10)) for i in range(n)]
+    for multiline in (True, False):
+        rows = tables.read_table(spark, str(tmp_path / "in"), multiline=multiline)
+        assert [r.entity_id for r in rows.orderBy("ord").collect()] == want
+
+
+def test_inspection(spark, tmp_path):
+    from kindred.operators import cleaning
+
+    write(tmp_path / "a.tsv", tables.SOURCE_COLUMNS, [["S1-1", "x", "", "IN"], ["S1-1", "y", "z", "IN"], ["S1-2", "NA", "z", ""], ["S1-3", "q", "r", "US"]])
+    got = cleaning.inspect_all({"a": tables.read_table(spark, str(tmp_path / "a.tsv")), "t": spark.createDataFrame([], "source1_entity_id string, ord long")})
+    assert got["a"]["rows"] == 4 and got["a"]["columns"] == list(tables.SOURCE_COLUMNS) and got["a"]["repeated_ids"] == 1
+    assert got["a"]["missing"]["business_name"] == [1, 25.0] and got["a"]["top_countries"] == [["IN", 2], ["US", 1], [None, 1]]
+    assert got["a"]["first_rows"][0] == ["S1-1", "x", None, "IN"] and len(got["a"]["first_rows"]) == 3
+    assert got["t"] == {"rows": 0, "columns": ["source1_entity_id"], "missing": {"source1_entity_id": [0, 0.0]}, "repeated_ids": 0, "top_countries": None, "first_rows": []}
 
 
 def test_whole_run(spark, folders, tmp_path):
@@ -79,6 +105,13 @@ def test_whole_run(spark, folders, tmp_path):
     assert right > 30
     assert [r[0] for r in found.collect()] == [f"S1-{i}" for i in range(60)]
     before = sorted(map(tuple, found.collect()))
+    assert tables.load_log(spark, f"{out}/clean/inspection")["test_source1"]["rows"] == 60
+    log, model = tables.load_log(spark, f"{out}/log"), sorted((p.name, p.stat().st_mtime_ns) for p in (tmp_path / "out" / "model").rglob("*"))
+    assert log["metrics"]["pairs_mode"] == log["mode"] == "blocked"
+    tables.save_log(spark, f"{out}/log", {})
+    assert main(["--stage", "evaluate", *common]) == 0  # the same log again, from the saved model, which stays as it is
+    assert tables.load_log(spark, f"{out}/log") == log
+    assert model == sorted((p.name, p.stat().st_mtime_ns) for p in (tmp_path / "out" / "model").rglob("*"))
     assert main(["--stage", "candidates", *common]) == 0
     assert main(["--stage", "predict", *common]) == 0  # a saved model gives the same
     assert sorted(map(tuple, spark.read.csv(f"{out}/matching_results", sep="\t", header=True).collect())) == before
