@@ -181,7 +181,7 @@ def in_arrow(df: DataFrame, inputs: Iterable[str], new: T.StructType, run: Calla
         for stay, made in run(batches):
             yield pa.RecordBatch.from_arrays([*stay, *made], names=[f.name for f in fields])
 
-    out = rows.mapInArrow(arrow, T.StructType(fields))
+    out = rows.mapInArrow(releasing(arrow), T.StructType(fields))
     return out.select(*(F.col(f.name).alias(n) for f, n in zip(fields, (*kept, *new.names), strict=True)))
 
 
@@ -190,13 +190,38 @@ def held(df: DataFrame, replaced: Iterable[str], **made: Column) -> DataFrame:
     theirs can clash."""
     gone = {n.lower() for n in replaced}
     kept = [column(c).alias(c) for c in df.columns if c.lower() not in gone]
-    return df.select(F.struct(*kept, F.lit(None).cast("boolean").alias("_")).alias("row"), *(c.alias(n) for n, c in made.items()))
+    return df.select(F.struct(*(kept or [F.lit(None).cast("boolean").alias("nothing")])).alias("row"), *(c.alias(n) for n, c in made.items()))
 
 
-def released(rows: DataFrame, **made: Column) -> DataFrame:
-    """The columns in "row", as they were, with the made ones behind them."""
-    names = rows.schema["row"].dataType.names[:-1]
-    return rows.select(*(F.col("row").getField(n).alias(n) for n in names), *(c.alias(n) for n, c in made.items()))
+def released(rows: DataFrame, like: DataFrame, replaced: Iterable[str], **made: Column) -> DataFrame:
+    """The columns that held() put into "row", with their names in like, and the made ones behind them."""
+    gone = {n.lower() for n in (*replaced, *made)}
+    kept = [F.col("row").getField(c).alias(c) for c in like.columns if c.lower() not in gone]
+    return rows.select(*kept, *(c.alias(n) for n, c in made.items()))
+
+
+def released_memory() -> None:
+    """Gives memory that this worker no longer uses back to the system: a worker lives on for later stages, and what its
+    allocators keep would count beside the memory of the next one. Where the allocator can't, nothing happens."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def releasing(run: Callable) -> Callable:
+    """run, a generator over batches; its memory is given back when a task has come to its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            released_memory()
+
+    return wrapped
 
 
 def arrow_of(run: Callable, schema: str) -> Callable:
@@ -210,7 +235,7 @@ def arrow_of(run: Callable, schema: str) -> Callable:
         for pdf in run(batches):
             yield pa.RecordBatch.from_pandas(pdf, schema=to_arrow_schema(kind), preserve_index=False)
 
-    return arrow
+    return releasing(arrow)
 
 
 class Hasher(dict):
@@ -276,6 +301,6 @@ class Bits:
                     yield pd.DataFrame({"word": word.astype(np.int64), "bits": np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first).view(np.int64)})
 
         filled = np.zeros(max(1, 1 << self.log2 >> 6), np.uint64)
-        found = keys.mapInPandas(words_of, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        found = keys.mapInPandas(releasing(words_of), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
         filled[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
         return Bits(self.log2, filled)
