@@ -21,10 +21,21 @@ ENDS = re.compile(r"[.!?:;…。！？؟।][\"'”’»)\]*_]*$")
 SENTENCE = re.compile(r"[.!?…。！？؟।](?:\s|$)")
 SEPARATORS = re.compile(r"(?:^|\s)[|»›•·>/]+(?=\s|$)")
 BOILERPLATE = re.compile(
-    r"lorem ipsum|enable javascript|javascript is (?:disabled|required)|\bcookies?\b.*\b(?:use|accept|policy|consent)|(?:use|accept)\b.*\bcookies?\b|privacy policy|terms of (?:use|service)"
-    r"|all rights reserved|click here|read more|sign (?:in|up)\b|log ?in\b|subscribe (?:to|now)|share (?:this|on)|skip to (?:main )?content|powered by|back to top",
+    r"lorem ipsum|enable javascript|javascript is (?:disabled|required)|privacy policy|terms of (?:use|service)"
+    r"|all rights reserved|click here|read more|sign (?:in|up)\b|log ?in\b|subscribe (?:to|now)|share (?:this|on)|skip to (?:main )?content|powered by|back to top"
+    r"|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|hier klicken|weiterlesen|javascript aktivieren|zum seitenanfang"
+    r"|tous droits réservés|politique de confidentialité|conditions d['’]utilisation|cliquez ici|lire la suite|activer javascript|haut de page"
+    r"|todos los derechos reservados|política de privacidad|términos (?:de uso|y condiciones)|haga clic aquí|leer más|habilitar javascript|volver arriba",
     re.IGNORECASE,
 )
+#: A notice of cookies has one of some words somewhere behind the first cookie, or before the last.
+COOKIE, BEHIND, BEFORE = (re.compile(x, re.IGNORECASE) for x in (r"\bcookies?\b", r"\b(?:use|accept|policy|consent|akzeptieren|accepter|aceptar)", r"(?:use|accept)\b"))
+
+
+def notice(line: str) -> bool:
+    """Whether a line speaks of cookies as notices do; in time linear in its length."""
+    found = [m.span() for m in COOKIE.finditer(line)]
+    return bool(found) and (any(m.start() >= found[0][1] for m in BEHIND.finditer(line)) or any(m.end() <= found[-1][0] for m in BEFORE.finditer(line)))
 
 
 @dataclass(frozen=True)
@@ -83,7 +94,7 @@ def bad_line(line: str, rules: Rules) -> str | None:
             return "shouting"
     if n >= rules.monotone_words and len(set(words)) <= rules.monotone_share * n:
         return "monotone"
-    if n <= rules.boilerplate_words and BOILERPLATE.search(line):
+    if n <= rules.boilerplate_words and (BOILERPLATE.search(line) or notice(line)):
         return "boilerplate"
     if not ENDS.search(line.rstrip()) and (n < rules.few_words or not SENTENCE.search(line)):
         return "punctuation"
