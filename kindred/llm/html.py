@@ -5,16 +5,20 @@ from __future__ import annotations
 import html as references
 import random
 import re
-from dataclasses import dataclass, field
+import zlib
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import with_columns
+from kindred.llm.shared import column, sampled_texts, with_columns
 
-#: Pages of the corpus and made pages that the model is fitted on at most.
-SAMPLE, MADE = 300, 400
+#: Pages of the corpus and made pages that the model is fitted on at most, and bytes of the corpus's.
+SAMPLE, MADE, SAMPLE_BYTES = 300, 400, 32 << 20
+#: Buckets of attribute tokens by hash, each a feature.
+TOKEN_BUCKETS = 32
 
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,11 +48,20 @@ BAD = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navigation navbar menu breadcrumb breadcrumbs sidebar side rail aside footer header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay dialog comment comments commentlist disqus reply replies respond discussion share sharing social related recommended recommendations more widget subscribe subscription newsletter signup login search form pagination pager tags toolbar copyright legal disclaimer hidden teaser".split()
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop|aria-label|style|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Numbers of references that no character has, and zeros before others: more digits than Python turns into a number.
+LARGE, ZEROS = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?"), re.compile(r"&#(?:([xX])0+(?=[0-9a-fA-F])|0+(?=[0-9]))")
+#: Characters that tags with unbalanced quotes may be searched for, as a multiple of the page's.
+SEARCHED = 20
+
+
+@lru_cache(100_000)
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass")) % TOKEN_BUCKETS
 
 
 @dataclass(slots=True)
@@ -60,6 +73,7 @@ class Node:
     good: bool = False
     bad: bool = False
     hidden: bool = False
+    tokens: tuple[int, ...] = ()
     text: str = ""
     links: int = 0
     link_chars: int = 0
@@ -68,17 +82,24 @@ class Node:
 
 def parse(page: str | None) -> list[Node]:
     """Block elements and text runs in page order, parents first. Unclosed elements end as HTML's rules for paragraphs, list
-    items, table parts and the like say; unknown and inline elements are part of the run around them."""
+    items, table parts and the like say; unknown and inline elements are part of the run around them. The time is linear in
+    the page's length: once tags whose quotes don't end have been searched for twenty times that, a tag ends at the next >."""
     page = page or ""
     nodes = [Node("html", -1)]
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements; inline ones share their block's node
+    places: dict[str, list[int]] = {}  # in the stack, of the open elements of a name
+    last_end, last_data, spare = page.rfind(">"), page.rfind("]]>"), SEARCHED * len(page)
+    endless: set[str] = set()  # elements of raw text that have no end from here on
     run: list[str] = []
     links = [0, 0]
     anchor = hidden = at = 0
 
     def flush() -> None:
         nonlocal links
-        text = " ".join(references.unescape("".join(run)).split())
+        text = "".join(run)
+        if "&#" in text:
+            text = ZEROS.sub(r"&#\1", LARGE.sub("\ufffd", text))
+        text = " ".join(references.unescape(text).split())
         run.clear()
         if text:
             up = stack[-1][1]
@@ -93,16 +114,14 @@ def parse(page: str | None) -> list[Node]:
             if tag in BLOCK:
                 flush()
             stack.pop()
+            places[tag].pop()
             hidden -= tag in HIDDEN or (tag in BLOCK and nodes[own].hidden)
             anchor -= tag == "a"
 
     def last(tags, barrier) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                return i
-            if stack[i][0] in barrier:
-                break
-        return 0
+        """The place of the topmost open element of these names, unless one of the others is above it."""
+        i = max([0, *(p[-1] for t in tags if (p := places.get(t)))])
+        return i if i and all(p[-1] <= i for t in barrier if (p := places.get(t))) else 0
 
     while at < len(page):
         cut = page.find("<", at)
@@ -113,7 +132,15 @@ def parse(page: str | None) -> list[Node]:
                 links[1] += cut - at
         if cut == len(page):
             break
-        found = TOKEN.match(page, cut) or LOOSE.match(page, cut)
+        if cut < last_data and page.startswith("<![CDATA[", cut):
+            at = page.find("]]>", cut) + 3
+            continue
+        found = None
+        if cut < last_end or page.startswith("<!--", cut):
+            found = TOKEN.match(page, cut) if spare > 0 or page.startswith(("<!", "<?"), cut) else None
+            if not found:
+                spare -= len(page) - cut
+                found = LOOSE.match(page, cut)
         if not found:
             if not hidden:
                 run.append("&lt;")
@@ -158,7 +185,7 @@ def parse(page: str | None) -> list[Node]:
                     dark |= name == "hidden" or "display:none" in value.replace(" ", "").lower()
                 else:
                     tokens.update(SPLIT.split(CAMEL.sub(" ", value).lower()))
-            node = Node(tag, up, bool(tokens & GOOD), bool(tokens & BAD), dark)
+            node = Node(tag, up, bool(tokens & GOOD), bool(tokens & BAD), dark, tuple({bucket(t) for t in tokens if t}))
             nodes.append(node)
             nodes[up].children.append(len(nodes) - 1)
             up = len(nodes) - 1
@@ -168,12 +195,15 @@ def parse(page: str | None) -> list[Node]:
             links[0] += 1
             anchor += 1
         if not attributes.endswith("/") or tag in BLOCK:
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, up))
         else:
             hidden -= tag in HIDDEN
             anchor -= tag == "a"
         if tag in RAW and tag in stack[-1][0]:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
+            if not end:
+                endless.add(tag)
             if end:
                 if not hidden:
                     run.append(page[at : end.start()].replace("<", "&lt;"))
@@ -190,7 +220,8 @@ WORD = re.compile(r"\S+")
 
 
 def features(nodes: list[Node]) -> np.ndarray:
-    """A row for each node: kind, kinds and tokens of its ancestors, subtree density, depth, place among siblings."""
+    """A row for each node: kind, kinds of its ancestors, attribute tokens of both (two lists of known ones, and all by hash),
+    subtree density, depth, place among siblings."""
     n, kinds = len(nodes), len(KINDS)
     chars, link_chars, links, tags, runs, ends, wordy = (np.zeros(n) for _ in range(7))
     for i, x in enumerate(nodes):
@@ -214,10 +245,12 @@ def features(nodes: list[Node]) -> np.ndarray:
     place = np.zeros(n)
     for x in nodes:
         place[x.children] = np.arange(len(x.children))
-    out = np.zeros((n, kinds * 2 + 20), np.float32)
+    first = kinds * 2 + 20  # of the buckets of tokens
+    out = np.zeros((n, first + TOKEN_BUCKETS), np.float32)
     for i, x in enumerate(nodes):
         up, row = x.parent, out[i]
         if i:
+            row[first:] = out[up, first:]
             row[kinds : kinds * 2 + 3] = out[up, kinds : kinds * 2 + 3]
             row[kinds * 2 + 3] = out[up, kinds * 2 + 3] + 1
         if (k := KIND.get(x.tag)) is not None:
@@ -244,6 +277,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         row[kinds * 2 + 17] = before[i] / total
         row[kinds * 2 + 18] = x.good
         row[kinds * 2 + 19] = x.bad
+        for t in x.tokens:
+            row[first + t] = 1
     return out
 
 
@@ -344,6 +379,12 @@ def labels(nodes: list[Node]) -> np.ndarray:
     return y
 
 
+def blind(nodes: list[Node]) -> list[Node]:
+    """The same tree without what labels() goes by: neither attribute tokens nor elements that name a part of a page."""
+    parts = {KIND[t] for t in ("article", "nav", "header", "footer", "aside", "form", "section")}
+    return [replace(x, tag="div" if x.tag != "html" and KIND.get(x.tag) in parts else x.tag, good=False, bad=False, tokens=()) for x in nodes]
+
+
 def made_page(seed: int) -> tuple[str, set[str]]:
     """A page of a random layout, and the blocks of its main text."""
     r = random.Random(seed)
@@ -398,7 +439,9 @@ def made_page(seed: int) -> tuple[str, set[str]]:
 
 
 def fit(pages: list[str | None]) -> Boosted:
-    """On made pages, whose main text is known, and on pages of the corpus, by what their markup says."""
+    """On made pages, whose main text is known, and on pages of the corpus, by what their markup says. Every other page of the
+    corpus is shown without that markup, so that the trees learn from the text's density, place and neighbours what they
+    can't read from names."""
     x, y = [], []
     for seed in range(MADE):
         page, main = made_page(seed)
@@ -407,30 +450,32 @@ def fit(pages: list[str | None]) -> Boosted:
         for i in range(len(nodes) - 1, 0, -1):
             own[nodes[i].parent] = max(own[nodes[i].parent], own[i])
         x.append(features(nodes)), y.append(own)
-    for page in pages:
+    for i, page in enumerate(pages):
         nodes = parse(page)
         own = labels(nodes)
         if own.any():
-            x.append(features(nodes)), y.append(own)
+            x.append(features(blind(nodes) if i % 2 else nodes)), y.append(own)
     return Boosted().fit(np.concatenate(x), np.concatenate(y))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Adds text and n_chars (code points) to every page.
 
     The model is fitted on the driver on made pages and on a sample of bounded size (300 pages, the first by a hash of the
-    id). Each whole page is then parsed where it lies; all its blocks and runs of text are scored, and the best choice is
-    taken in which nothing is kept below something dropped. References are decoded, white space within a block becomes one
-    space, and blocks are joined by line breaks in page order. Null html is empty; a page without main text has the text ''.
-    Input columns of the results' names are replaced. Ties, repeated rows and an empty table need no rule.
+    id, with 32 MB in all). Each whole page is then parsed where it lies; all its blocks and runs of text are scored, and the
+    best choice is taken in which nothing is kept below something dropped. References are decoded, white space within a block
+    becomes one space, and blocks are joined by line breaks in page order. Null html is empty; a page without main text has
+    the text ''. Input columns of the results' names are replaced. Repeated rows get equal results, and an empty table gives
+    an empty result.
     """
-    picked = pages.select(F.col(id_col).alias("__id")).filter("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    found = pages.select(F.col(id_col).alias("__id"), F.col(html_col).alias("__html")).join(F.broadcast(picked), "__id").orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    model = fit([r["__html"] for r in found.collect()])
+    own = pages.select(column(id_col).alias("id"), column(html_col).alias("text"))
+    picked = own.select("id").filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    found = sampled_texts(own, picked, sample_bytes)
+    model = fit([found[i] for i in sorted(found, key=lambda i: (zlib.crc32(str(i).encode()), str(i)))])
 
     def run(texts):
-        for at in range(0, len(texts), 200):
-            trees = [parse(t) for t in texts[at : at + 200]]
+        for at in range(0, len(texts), 100):
+            trees = [parse(t) for t in texts[at : at + 100]]
             sizes = np.cumsum([len(t) for t in trees])
             scores = np.split(model.score(np.concatenate([features(t) for t in trees])), sizes[:-1])
             for nodes, own in zip(trees, scores, strict=True):

@@ -1,4 +1,6 @@
 import random
+import time
+from html.parser import HTMLParser
 from itertools import product
 
 import numpy as np
@@ -94,11 +96,110 @@ def test_table(spark):
     assert H.extract(pages.limit(0)).collect() == []
 
 
-def test_query(spark):
+class Article(HTMLParser):
+    """Blocks of the text within <article>, by the standard library's parser; for pages as the given tables have them."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.raw, self.run, self.blocks = 0, 0, [], []
+        self.feed(page)
+        self.close()
+
+    def cut(self):
+        if text := " ".join("".join(self.run).split()):
+            self.blocks.append(text)
+        self.run = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.raw += 1
+        if tag in ("p", "h1", "h2", "li", "div", "article"):
+            self.cut()
+        if tag == "br":
+            self.run.append(" ")
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.raw -= 1
+        if tag in ("p", "h1", "h2", "li", "div", "article"):
+            self.cut()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.raw:
+            self.run.append(data)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query(spark, sf):
+    """The registered query against another parser, page by page."""
     from kindred.llm.queries import op3_boosted_nodes
-    from tests.conftest import SMALL
 
-    rows = op3_boosted_nodes(spark, SMALL).collect()
-    assert len(rows) == spark.read.parquet(f"{SMALL}/pages.parquet").count()
+    folder = f"/root/testdata/{sf}"
+    pages = {r.page_id: r for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    rows = op3_boosted_nodes(spark, folder).collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
     for r in rows:
-        assert r.text and "track(" not in r.text and "©" not in r.text and r.n_chars == len(r.text)
+        page = pages[r.page_id]
+        assert r.url == page.url and r.n_chars == len(r.text) and r.text == "\n".join(Article(page.html).blocks)
+
+
+def test_text_is_found_without_names(model, spark):
+    """Pages without the markup that labels go by: their text is known from the pages with it."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    own, same = H.fit(pages[:100]), 0
+    for page in pages[100:200]:
+        nodes = H.parse(page)
+        bare = H.blind(nodes)
+        assert not any(x.good or x.bad or x.tokens or x.tag in ("article", "nav", "footer", "aside", "header", "form") for x in bare)
+        kept = H.decode(bare, own.score(H.features(bare)))
+        same += "\n".join(n.text for n, k in zip(nodes, kept, strict=True) if k and not n.tag) == "\n".join(Article(page).blocks)
+    assert same >= 90
+
+
+def test_hashed_tokens():
+    nodes = H.parse('<div class="alphaBeta x-7"><p>One.</p></div><p>Two.</p>')
+    rows = H.features(nodes)[:, len(H.KINDS) * 2 + 20 :]
+    own = {H.bucket(t) for t in ("alpha", "beta", "x", "7")}
+    at = {x.text or x.tag: set(np.flatnonzero(r)) for x, r in zip(nodes, rows, strict=True)}
+    assert at["div"] == at["One."] == own and at["Two."] == at["html"] == set()
+
+
+def test_boosting_against_plain_splits():
+    """The first split of the first tree is the one with the greatest gain over all features and cuts."""
+    r = np.random.default_rng(4)
+    x = r.integers(0, 6, (60, 4)).astype(np.float32)
+    y = (r.random(60) < 0.2 + 0.6 * (x[:, 2] > 2)).astype(float)
+    own = H.Boosted(trees=1, depth=1, least=5).fit(x, y)
+    p = y.mean()
+    g, h = y - p, np.full(60, p * (1 - p))
+    score = lambda s: g[s].sum() ** 2 / (h[s].sum() + own.ridge)
+    gains = {(f, c): score(x[:, f] <= c) + score(x[:, f] > c) for f in range(4) for c in range(6) if 5 <= (x[:, f] <= c).sum() <= 55}
+    f, c = max(gains, key=gains.get)
+    feature, cut, value = own.trees[0]
+    assert feature[0] == f and set(x[:, f] > cut[0]) == {True, False} and ((x[:, f] > cut[0]) == (x[:, f] > c)).all()
+    assert value == pytest.approx([own.rate * g[s].sum() / (h[s].sum() + own.ridge) for s in (x[:, f] <= c, x[:, f] > c)])
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "<a \"'>", "<![CDATA[", "<textarea>", "<p>x", "<li>", "<tr><td>x", "<!--", "<a href='x'>", "</p>"])
+def test_time_is_linear(unit):
+    took = []
+    for n in (40_000, 320_000):
+        began = time.process_time()
+        H.parse(unit * (n // len(unit)))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.3
+    H.parse("<p><table>" + "<div>" * 100_000)
+
+
+def test_numbers_of_references():
+    n = 200_000
+    page = "<p>&#" + "1" * n + ";&#" + "0" * n + "65;&#x" + "0" * n + "41;&#128512;&#x1F600; &#0;</p>"
+    assert H.parse(page)[-1].text == "\ufffdAA😀😀 \ufffd"
+
+
+def test_large_page(spark):
+    page = "<article>" + f"<p>{PROSE}</p>" * 60_000 + "</article>"
+    rows = H.extract(spark.createDataFrame([(1, page, 3), (1, page, 4)], "page_id long, html string, `a.b` int")).collect()
+    assert [(r["a.b"], r.n_chars) for r in rows] == [(k, 60_000 * (len(PROSE) + 1) - 1) for k in (3, 4)]
