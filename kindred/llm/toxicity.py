@@ -1,4 +1,7 @@
-"""Toxicity grades by a cumulative-link model."""
+"""Toxicity grades by a cumulative-link model.
+
+Grades come from two judgements of the labels, not from the texts: 0 for a document that isn't toxic, 1 for a toxic one of low
+quality, 2 for a toxic one that is otherwise good, so that no other rule would remove it."""
 
 from __future__ import annotations
 
@@ -9,14 +12,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import with_columns
+from kindred.llm.shared import column, sampled_texts, with_columns
 
-#: Labelled documents that the model is fitted on at most, the first by a hash of the id.
-SAMPLE = 10_000
+#: Labelled documents that the model is fitted on at most, the first by a hash of the id; bytes of text that they have at most.
+SAMPLE, SAMPLE_BYTES = 10_000, 64 << 20
+GRADES = 3
 #: Documents of the sample that a feature must occur in; standard deviations that its share must differ by; features at most.
 LEAST_DOCS, LEAST_Z, MOST_FEATURES = 5, 4.0, 5_000
-#: Hits of marked words from which a toxic document has grade 2 and 3.
-GRADE_HITS = (2, 4)
 EDGES = " \t\n\x0b\x0c\r.,;:!?\"'()[]{}*_-#$%&|<>/\\…“”‘’«»¿¡"
 
 
@@ -40,37 +42,29 @@ class CumulativeLink:
         return 1 / (1 + np.exp(np.clip(self.cuts - x, -60, 60)))
 
 
-def chosen(texts: list[str | None], toxic: np.ndarray) -> dict[str, bool]:
-    """Words whose share of toxic documents differs clearly from that of the others, the clearest first; and whether more
-    than half of their documents are toxic."""
+def chosen(found: list[Counter], toxic: np.ndarray) -> list[str]:
+    """Words whose share of toxic documents differs clearly from that of the others, the clearest first."""
     p, every, bad = float(toxic.mean()) if len(toxic) else 0.0, Counter(), Counter()
-    for t, is_toxic in zip(texts, toxic, strict=True):
-        found = features(t).keys()
-        every.update(found)
+    for words, is_toxic in zip(found, toxic, strict=True):
+        every.update(words.keys())
         if is_toxic:
-            bad.update(found)
+            bad.update(words.keys())
     z = {w: (bad[w] - k * p) / max(k * p * (1 - p), 1e-9) ** 0.5 for w, k in every.items() if k >= LEAST_DOCS}
-    best = sorted((w for w, x in z.items() if abs(x) >= LEAST_Z), key=lambda w: (-abs(z[w]), w))[:MOST_FEATURES]
-    return {w: bad[w] > 0.5 * every[w] for w in best}
+    return sorted((w for w, x in z.items() if abs(x) >= LEAST_Z), key=lambda w: (-abs(z[w]), w))[:MOST_FEATURES]
 
 
-def fit(texts: list[str | None], toxic: list[int], steps: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> CumulativeLink:
-    """Maximum likelihood of the grades with a ridge, by Adam. The labels tell toxic or not; a toxic document's grade is 1, or
-    2 and 3 by how often the words occur that mark toxic documents."""
-    toxic_ = np.asarray(toxic, np.int64)
-    marks = chosen(texts, toxic_)
-    names = list(marks)
+def fit(texts: list[str | None], grade: list[int], steps: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> CumulativeLink:
+    """Maximum likelihood of the grades (0 to GRADES - 1) with a ridge, by Adam."""
+    grade, found = np.asarray(grade, np.int64), [features(t) for t in texts]
+    names = chosen(found, grade > 0)
     words = {w: i for i, w in enumerate(names)}
-    row, col, value, hits, docs = [], [], [], np.zeros(len(texts)), texts
-    for i, t in enumerate(texts):
-        d = features(t)
+    row, col, value, docs = [], [], [], texts
+    for i, d in enumerate(found):
         for w in sorted(d.keys() & words.keys()):
             row.append(i), col.append(words[w]), value.append(1 + np.log(d[w]))
-            hits[i] += d[w] * marks[w]
     row, col, value = np.array(row, np.int64), np.array(col, np.int64), np.array(value, float)
-    grade = np.where(toxic_ > 0, 1 + (hits >= GRADE_HITS[0]) + (hits >= GRADE_HITS[1]), 0)
-    n, k = max(1, len(docs)), 3
-    weights, free = np.zeros(len(names)), np.array([2.0, np.log(0.5), np.log(0.5)])  # the first cut, logs of the gaps after it
+    n, k = max(1, len(docs)), GRADES - 1
+    weights, free = np.zeros(len(names)), np.array([2.0, *[np.log(0.5)] * (k - 1)])  # the first cut, logs of the gaps after it
     m, v = np.zeros(len(names) + k), np.zeros(len(names) + k)
     for step in range(1, steps + 1 if len(docs) else 1):
         cuts = free[0] + np.concatenate(([0], np.cumsum(np.exp(free[1:]))))
@@ -90,19 +84,26 @@ def fit(texts: list[str | None], toxic: list[int], steps: int = 400, rate: float
     return CumulativeLink(words, weights, free[0] + np.concatenate(([0], np.cumsum(np.exp(free[1:])))))
 
 
-def grades(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Adds severity (expected grade, 0 to 3), grade (the likeliest) and toxic (P(grade >= 1) is over one half) to every row.
+def grades(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", quality_col: str = "quality", sample_bytes: int = SAMPLE_BYTES
+) -> DataFrame:
+    """Adds severity (expected grade, 0 to 2), grade (the likeliest) and toxic (P(grade >= 1) is over one half) to every row.
 
-    The model is fitted on the driver on a sample of labelled documents of bounded size (10,000, the first by a hash of the
-    id; their texts are found by a join with the sampled ids, which are broadcast), and has 5,000 words at most. Each whole
-    text is then scored where it lies. Null text counts as empty; labels with null in id or label aren't used; without any
-    label the severity is that of the model's start. Input columns of the results' names are replaced. Empty tables are fine.
+    A labelled document's grade is 0 if it isn't toxic, 1 if it is toxic and of low quality, 2 if it is toxic and otherwise
+    good (labels without a quality: 2), the greatest of its labels. The model is fitted on the driver on a sample of labelled
+    documents of bounded size (10,000, the first by a hash of the id, with 64 MB of text in all), and has 5,000 words at most.
+    Each whole text is then scored where it lies. Null text counts as empty; labels with null in id or label aren't used;
+    without any label the severity is that of the model's start. Input columns of the results' names are replaced. Empty tables
+    are fine.
     """
-    own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
-    picked = own.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(picked), "__id")
-    found = rows.orderBy(F.xxhash64("__id"), "__id").limit(sample).collect()
-    model = fit([r["__text"] for r in found], [r["__label"] for r in found])
+    good = F.coalesce(column(quality_col).cast("int"), F.lit(1)) if quality_col in labels.columns else F.lit(1)
+    grade = F.when(column(label_col).cast("int") > 0, F.lit(1) + F.when(good > 0, 1).otherwise(0)).otherwise(0)
+    own = labels.filter(column(id_col).isNotNull() & column(label_col).isNotNull()).groupBy(column(id_col).alias("id")).agg(F.max(grade).alias("grade"))
+    picked = own.join(docs.select(column(id_col).alias("id")).distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
+    graded = {r.id: r.grade for r in picked.collect()}
+    found = sampled_texts(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), picked, sample_bytes)
+    ids = sorted(found, key=str)
+    model = fit([found[i] for i in ids], [graded[i] for i in ids])
 
     def score(texts):
         for t in texts:
