@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import partial
 from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import checkpointed
+from kindred.llm.shared import checkpointed, column, held, released
 
 #: (rule, verdict); a rule is a host and a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -33,7 +33,7 @@ class Level:
         listed = F.array(*(F.lit(w).cast("long") for w in self.filled)) if len(self.filled) < 64 else F.from_json(F.lit(str(list(self.filled))), "array<long>")
         word = lambda at: F.element_at(listed, (F.shiftright(at, 6) + 1).cast("int"))
         bit = lambda at: F.call_function("shiftrightunsigned", word(at), F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
-        return reduce(lambda a, b: a & b, (bit(at) for at in self.probes(key)))
+        return F.forall(F.array(*self.probes(key)), bit)  # so the words are in the plan once
 
 
 def build_level(keys: DataFrame, n: int, seed: int, rate: float) -> Level:
@@ -80,7 +80,7 @@ def _fit(verdict: str, key: Column) -> Column:
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z in lower case) and path; empty for null and without '://'."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(__url, instr(__url, '://') + 3)")).otherwise(F.lit(""))
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
@@ -88,28 +88,29 @@ def split_url(url: Column) -> tuple[Column, Column]:
 def judge(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url_col: str = "url") -> DataFrame:
     """Adds host, path, rule and verdict (in place of input columns of these names) to every row.
 
-    A url's keys are each suffix of its host at a dot, joined to each beginning of its path that is as long as some rule's
-    path. One cascade for each verdict says without a join which of the keys are rules; the longest key wins. Urls without a
+    A url's keys are each end of its host at a dot, with as many labels as a rule's host has at most, joined to each
+    beginning of its path that is as long as some rule's path. One cascade for each verdict says without a join which of the keys are rules; the longest key wins. Urls without a
     rule aren't on the block list, so the cascade's answer for them is allow. Null and malformed urls have empty hosts, which
     no rule fits. An empty table gives an empty result.
     """
     spark: SparkSession = urls.sparkSession
-    rows = urls.drop("host", "path", "rule", "verdict").withColumn("__url", F.col(url_col))
-    host, path = split_url(F.col("__url"))
+    rows = held(urls, ("host", "path", "rule", "verdict"), url=column(url_col))
+    host, path = split_url(F.col("url"))
     rows = rows.withColumns({"host": host, "path": path})
     lengths = sorted({len(rule) - rule.index("/") for rule, _ in rules})
+    most = max((rule[: rule.index("/")].count(".") + 1 for rule, _ in rules), default=1)
     parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    # no rule's host has more labels than `most`, so longer ends of a host can't be rules
+    ends = F.transform(F.sequence(F.greatest(F.lit(1), F.size(parts) - most + 1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.lit(most)), "."))
     starts = F.array_compact(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)))
-    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(s, p))))
-    rows = rows.withColumn("__keys", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(keys))
-    universe = rows.select(F.explode("__keys").alias("key")).distinct()
+    keys = F.flatten(F.transform(ends, lambda s: F.transform(starts, lambda p: F.concat(s, p))))
+    rows = rows.withColumn("keys", F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(keys))
+    universe = rows.select(F.explode("keys").alias("key")).distinct()
     listed = {}
     for verdict in sorted({v for _, v in rules}):
         own = spark.range(1).select(F.explode(F.array(*(F.lit(r) for r, v in rules if v == verdict))).alias("key"))
         levels = build_cascade(own, universe)
-        listed[verdict] = F.filter("__keys", partial(is_listed, levels))
+        listed[verdict] = F.filter("keys", partial(is_listed, levels))
     fits = F.flatten(F.array(*(F.transform(found, partial(_fit, verdict)) for verdict, found in listed.items())))
-    rows = rows.withColumn("__best", F.array_max(fits))
-    rows = rows.withColumns({"rule": F.col("__best.rule"), "verdict": F.coalesce("__best.verdict", F.lit("allow"))})
-    return rows.drop(*(c for c in rows.columns if c.startswith("__")))
+    rows = rows.withColumn("best", F.array_max(fits))
+    return released(rows, urls, (), host=F.col("host"), path=F.col("path"), rule=F.col("best.rule"), verdict=F.coalesce("best.verdict", F.lit("allow")))

@@ -52,3 +52,11 @@ def test_cascade_is_exact(spark):
     assert all(x.y == (x.key in listed) for x in wrong)
     assert build_cascade(every.limit(0), every) == []
     assert not any(x.y for x in every.select(is_listed([], F.col("key")).alias("y")).collect())
+
+
+def test_names_and_long_hosts(spark):
+    long = ["http://" + "a." * 500_000 + "net/q", "http://" + "a" * 2_000_000 + "/x", "http://example.net/en/" + "x" * 2_000_000]
+    rows = spark.createDataFrame([(u, 1, 2, 3) for u in long], "url string, __mine int, `a.b` int, keys int")
+    got = judge(rows)
+    assert got.columns == ["url", "__mine", "a.b", "keys", "host", "path", "rule", "verdict"]
+    assert [(r.rule, r.verdict) for r in got.collect()] == [("net/", "block"), (None, "allow"), ("example.net/en/", "allow")]
