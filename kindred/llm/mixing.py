@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import md5_key, word_count
+from kindred.llm.shared import checkpointed, column, held, md5_key, released, word_count
 
 #: Hash bits, and bits that one histogram resolves.
 BITS, STEP = 48, 12
@@ -49,10 +48,10 @@ def mix(
     Adds size, source_size, target and taken (in place of input columns of these names). Null text has size 0; null is a
     source of its own, and is last. An empty table gives an empty result.
     """
-    own = size if size is not None else word_count(F.col("text"))
-    key = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))
-    rows = docs.withColumns({"__size": own, "__key": key, "__hash": md5_key(F.col(id_col), BITS // 4)})
-    slim = rows.select(F.col("__key").alias("key"), F.col("__hash").alias("hash"), F.col("__size").alias("size"), F.col(source_col).alias("source")).persist(StorageLevel.DISK_ONLY)
+    own, source = (size if size is not None else word_count(F.col("text"))), column(source_col)
+    key = F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+    rows = held(docs, ("size", "source_size", "target", "taken"), size=own, key=key, hash=md5_key(column(id_col), BITS // 4), source=source)
+    slim = checkpointed(rows.select("key", "hash", "size", "source"))
 
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     few = slim.agg(F.approx_count_distinct("key")).first()[0] <= FEW_SOURCES // 2
@@ -72,9 +71,7 @@ def mix(
         open_ = over.select("key", F.col("b.bucket").alias("prefix"), (F.col("b.end") - F.col("b.words")).alias("below"), F.col("b.rest").alias("rest"), F.col("b.end").alias("end"))
     nearer = F.col("end") - F.col("rest") <= F.col("rest") - F.col("below")
     ends = open_.select("key", F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("threshold"))
-    plan = targets.join(near(ends), "key", "left").select(F.col("key").alias("__key"), "source_size", "target", F.col("times").alias("__times"), F.coalesce("threshold", F.lit(0)).alias("__threshold"))
-
-    made = rows.drop("size", "source_size", "target", "taken").join(near(plan), "__key")
-    taken = F.col("__size") * (F.col("__times") + F.when(F.col("__hash") < F.col("__threshold"), F.lit(1)).otherwise(F.lit(0)))
-    made = made.withColumns({"size": F.col("__size"), "taken": taken.cast("long")})
-    return made.drop(*(c for c in made.columns if c.startswith("__")))
+    plan = targets.join(near(ends), "key", "left").select("key", "source_size", "target", "times", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    again = F.when(F.col("hash") < F.col("threshold"), F.lit(1)).otherwise(F.lit(0))
+    made = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": (F.col("size") * (F.col("times") + again)).cast("long")}
+    return released(rows.join(near(plan), "key"), docs, (), **made)

@@ -71,3 +71,8 @@ def test_odd_rows(spark):
 def test_query_keeps_columns(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert set(docs.columns) <= set(mix(docs).columns)
+
+
+def test_names(spark):
+    docs = spark.createDataFrame([(1, "a", "s", 2, 3, 4)], "doc_id long, text string, `my.source` string, __mine int, `a.b` int, hash int")
+    assert mix(docs, source_col="my.source").columns == ["doc_id", "text", "my.source", "__mine", "a.b", "hash", "size", "source_size", "target", "taken"]
