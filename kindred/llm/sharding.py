@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kindred.llm.shared import md5_key
+from kindred.llm.shared import checkpointed, column, held, md5_key, released
 
 #: Bits of a sort key, and bits that one round of probes resolves.
 BITS, STEP = 60, 12
 #: Bytes that one task of the exchange is to get, about; a shard has several such tasks.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 
 
 def below(splitters: list[int], key: Column) -> Column:
@@ -63,8 +62,8 @@ def shard(
 
     The sort key is 60 bits of the id's md5 (or a given long column of 60 bits), so shards are also shuffled samples. The
     bytes below probes are counted exactly, and probes are refined until each splitter meets the tolerance (0: until it is a
-    single key). Then whole rows are exchanged once, by shard and a part of the key's range; a part's rows are sorted, and
-    the counts of the parts before it give its first slot. No task gets a whole shard.
+    single key). Then whole rows are exchanged once, by shard and a part of the key's range, to as many tasks as their bytes
+    ask for; a part's rows are sorted, and the counts of the parts before it give its first slot. No task gets a whole shard.
 
     Adds size, law ('bytes'), shard and slot in place of input columns of these names. Sizes are UTF-8 bytes of text (null:
     none) plus 1. Rows with the same id have the same key and stay in one shard; null ids count as one id. A row too large
@@ -72,21 +71,21 @@ def shard(
     """
     assert shards >= 1
     own = size if size is not None else F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1
-    rows = docs.withColumns({"__size": own.cast("long"), "__key": key if key is not None else md5_key(F.col(id_col), BITS // 4)})
-    slim = rows.select(F.col("__key").alias("key"), F.col("__size").alias("size")).persist(StorageLevel.DISK_ONLY)
+    place_of = key if key is not None else md5_key(column(id_col), BITS // 4)
+    rows = held(docs, ("size", "law", "shard", "slot"), id=column(id_col), size=own.cast("long"), key=place_of)
+    slim = checkpointed(rows.select("key", "size"))
     splitters, total = find_splitters(slim, shards, tolerance)
     bits = min(20, max(8, (max(1, total) // task_bytes).bit_length() + 2))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
 
-    def place(df: DataFrame, k: str) -> DataFrame:
-        return df.withColumns({"__shard": below(splitters, F.col(k)), "__part": F.shiftright(F.col(k), BITS - bits)})
+    def place(df: DataFrame) -> DataFrame:
+        return df.withColumns({"shard": below(splitters, F.col("key")), "part": F.shiftright("key", BITS - bits)})
 
-    parts = place(slim, "key").groupBy("__shard", "__part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("__shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(F.col("__shard").alias("s"), F.col("__part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__start"))
-    made = place(rows.drop("size", "law", "shard", "slot"), "__key")
-    within = Window.partitionBy("__shard", "__part").orderBy("__key", id_col)
-    made = made.withColumn("__row", F.row_number().over(within))
+    parts = place(slim).groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy("shard", "part").orderBy("key", "id")
+    made = place(rows).repartition(tasks, "shard", "part").withColumn("n", F.row_number().over(within))
     # a row for each part and one more for each splitter: 2^20 + shards at most
-    made = made.join(F.broadcast(starts), (F.col("__shard") == F.col("s")) & (F.col("__part") == F.col("p"))).drop("s", "p")
-    made = made.withColumns({"size": F.col("__size"), "law": F.lit("bytes"), "shard": F.col("__shard"), "slot": (F.col("__start") + F.col("__row") - 1).cast("long")})
-    return made.drop(*(c for c in made.columns if c.startswith("__")))
+    made = made.join(F.broadcast(starts), ["shard", "part"])
+    return released(made, docs, (), size=F.col("size"), law=F.lit("bytes"), shard=F.col("shard"), slot=(F.col("start") + F.col("n") - 1).cast("long"))

@@ -58,3 +58,8 @@ def test_below(spark):
     cuts = [3, 5, 5, 9]
     rows = spark.range(12).select("id", below(cuts, F.col("id")).alias("n")).collect()
     assert all(r.n == sum(c <= r.id for c in cuts) for r in rows)
+
+
+def test_names(spark):
+    docs = spark.createDataFrame([(1, "a", 2, 3, 4)], "doc_id long, text string, __mine int, `a.b` int, SLOT int")
+    assert shard(docs, 2).columns == ["doc_id", "text", "__mine", "a.b", "size", "law", "shard", "slot"]
