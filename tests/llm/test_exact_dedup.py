@@ -48,3 +48,12 @@ def test_query(spark):
 
     for r in op4_content_sort(spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet"), "doc_id").collect():
         assert r.text_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_names_and_equal_ids(spark):
+    """Hot copies of one id are dealt by their place; columns of any name stay."""
+    docs = spark.range(900).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"), F.col("id").alias("a.b"), F.lit(1).alias("__fp"), F.lit(2).alias("KEPT"), F.lit(3).alias("salt")).repartition(4)
+    got = content_sort(docs, hot_rows=50)
+    assert got.columns == ["doc_id", "text", "a.b", "__fp", "salt", "keep_id", "group_size", "kept"]
+    rows = got.collect()
+    assert len({r["a.b"] for r in rows}) == 900 and {r.group_size for r in rows} == {900} and sum(r.kept for r in rows) == 1
