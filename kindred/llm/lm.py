@@ -12,13 +12,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.jaccard import Hasher, arrow_of
-from kindred.llm.shared import Store, checkpointed, with_columns, words
+from kindred.llm.shared import Hasher, Store, arrow_of, checkpointed, column, with_columns, words
 
 #: The end of a text, as a word that no text has.
 END = b"\x00end of text "
-#: Tokens in a bucket of counts, about; and buckets of words, by the first byte of their hash.
-BUCKET_TOKENS, WORD_BUCKETS = 3_000_000, 256
+#: Tokens in a bucket of pairs, about; word numbers in a range of what comes after and before words.
+BUCKET_TOKENS, RANGE_WORDS = 3_000_000, 250_000
+#: Bytes of text for one bucket of words, and the least and most bits of a hash that name it.
+WORD_BYTES, LEAST_BITS, MOST_BITS = 4 << 20, 6, 12
+#: Texts whose words are objects at once.
+SOME = 1000
 #: Words that a bucket names as candidates for hot contexts.
 TOP = 64
 ADDED = 0.1
@@ -56,15 +59,33 @@ def held_out(ident: int | None) -> bool:
 
 def sequences(texts: list[str | None], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, each followed by the end; and the number of each text's tokens."""
-    found = [[*words(t), END] for t in texts]
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    return hasher([w for f in found for w in f]), sizes
+    parts, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for at in range(0, len(texts), SOME):
+        found = [[*words(t), END] for t in texts[at : at + SOME]]
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        parts.append(hasher([w for f in found for w in f]))
+    return np.concatenate(parts), np.concatenate(sizes)
+
+
+def parted(where: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of each part of 0 .. n - 1 that occurs, from one sort, however many parts there are."""
+    order = np.argsort(where, kind="stable")
+    names, starts = np.unique(where[order], return_index=True)
+    for b, pick in zip(names.tolist(), np.split(order, starts[1:]), strict=len(names) > 0):
+        if 0 <= b < n:
+            yield b, pick
+
+
+def by_hash(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Where the parts of sorted hashes by their first bits begin, but for the first."""
+    return np.searchsorted(hashes, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
 
 
 class Counts:
-    """The model's files: sorted hashes and counts of words, by the first byte of the hash; sorted pairs of word numbers and
+    """The model's files: sorted hashes and counts of words, by the first bits of the hash; sorted pairs of word numbers and
     their counts, by ranges of the first word (pairs with a hot first word over all buckets, by the second); and for each
-    word number how many words come once, twice, more often after it, and how many come before it."""
+    word number how many words come once, twice, more often after it, and how many come before it, by ranges of the number.
+    A pair is two numbers of 32 bits; counts have 64 bits where a bucket needs them."""
 
     def __init__(self, store: Store, facts: dict | None = None):
         self.store, self.facts, self.open = store, facts or {}, {}
@@ -79,7 +100,7 @@ class Counts:
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers (-1: not in training) and counts of sorted distinct hashes."""
         number, count = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        cuts = np.searchsorted(hashes, np.arange(1, WORD_BUCKETS, dtype=np.uint64) << np.uint64(56))
+        cuts = by_hash(hashes, self.facts["bits"])
         for b, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(hashes)], strict=True)):
             if lo < hi and len(known := self.file(f"words/{b}", np.uint64)):
                 at = np.minimum(np.searchsorted(known, hashes[lo:hi]), len(known) - 1)
@@ -109,29 +130,26 @@ class Counts:
 
     def pair_counts(self, pairs: np.ndarray) -> np.ndarray:
         """Of sorted distinct pairs."""
-        out, where = np.zeros(len(pairs), np.int64), self.bucket(pairs)
-        order = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[order], np.arange(self.facts["buckets"] + 1))
-        for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if lo < hi and len(known := self.file(f"pairs/{b}", np.uint64)):
-                pick = order[lo:hi]
+        out = np.zeros(len(pairs), np.int64)
+        for b, pick in parted(self.bucket(pairs), self.facts["buckets"]):
+            if len(known := self.file(f"pairs/{b}", np.uint64)):
                 at = np.minimum(np.searchsorted(known, pairs[pick]), len(known) - 1)
-                out[pick] = np.where(known[at] == pairs[pick], self.file(f"times/{b}", np.uint32)[at], 0)
+                times = self.file(f"times/{b}", np.uint32)
+                times = times if len(times) else self.file(f"long/{b}", np.int64)
+                out[pick] = np.where(known[at] == pairs[pick], times[at], 0)
         return out
 
     def after(self, numbers: np.ndarray) -> np.ndarray:
         """(4, n): words that come once, twice, more often after each word, and words before it."""
         out = np.zeros((4, len(numbers)), np.int64)
-        where = numbers * self.facts["buckets"] // (self.facts["V"] + 1)
-        for b in np.unique(where[numbers >= 0]):
-            pick = np.flatnonzero((where == b) & (numbers >= 0))
-            if (table := self.file(f"after/{b}", np.uint32)).size:
-                out[:, pick] = table.reshape(4, -1)[:, numbers[pick] - self.low(int(b))]
+        for r, pick in parted(np.where(numbers < 0, -1, numbers // self.facts["range"]), self.ranges()):
+            if (table := self.file(f"after/{r}", np.uint32)).size:
+                out[:, pick] = table.reshape(4, -1)[:, numbers[pick] - r * self.facts["range"]]
         return out
 
-    def low(self, b: int) -> int:
-        """The least number in bucket b."""
-        return -(-b * (self.facts["V"] + 1) // self.facts["buckets"])
+    def ranges(self) -> int:
+        """Ranges of word numbers; the start of a text has the last number."""
+        return self.facts["V"] // self.facts["range"] + 1
 
     # probabilities
 
@@ -170,13 +188,15 @@ def _frequencies(counts: np.ndarray) -> list[int]:
 
 def train(docs: DataFrame, store: Store) -> dict:
     """Counts words and pairs of (text) rows into the store; returns the model's facts, whose size is bounded."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // WORD_BYTES).bit_length()))
 
     def word_parts(batches) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             hashes, n = np.unique(sequences(texts, hasher)[0], return_counts=True)
-            cuts = np.searchsorted(hashes, np.arange(1, WORD_BUCKETS, dtype=np.uint64) << np.uint64(56))
+            cuts = by_hash(hashes, bits)
             parts = [(b, packed(h, c)) for b, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(n.astype(np.uint32), cuts), strict=True)) if len(h)]
             yield pd.DataFrame({"part": [0] if texts else [], "docs": [len(texts)] if texts else [], "data": [b""] if texts else []})
             yield pd.DataFrame({"part": [b for b, _ in parts], "docs": [0] * len(parts), "data": [d for _, d in parts]})
@@ -193,13 +213,15 @@ def train(docs: DataFrame, store: Store) -> dict:
     parts = docs.select("text").mapInArrow(arrow_of(word_parts, "part int, docs long, data binary"), "part int, docs long, data binary")
     found = {r.part: json.loads(r.facts) for r in parts.groupBy("part").applyInPandas(word_merge, "part int, facts string").collect()}
     first, v = [], 0
-    for b in range(WORD_BUCKETS):
+    for b in range(1 << bits):
         first.append(v)
         v += found.get(b, {"n": 0})["n"]
+    if v >= 2**32 - 1:
+        raise ValueError(f"{v} distinct words; a pair holds two numbers of 32 bits")
     total, n_docs = sum(x["sum"] for x in found.values()), sum(x["docs"] for x in found.values())
     buckets = max(8, -(-total // BUCKET_TOKENS))
     hot = [first[b] + i for b, x in found.items() for i, n in x["top"] if n * 4 * buckets > total] + [v] * (n_docs * 4 * buckets > total)
-    facts = {"V": v, "N": total, "docs": n_docs, "first": first, "buckets": buckets, "hot": sorted(hot)}
+    facts = {"V": v, "N": total, "docs": n_docs, "bits": bits, "range": RANGE_WORDS, "first": first, "buckets": buckets, "hot": sorted(hot)}
     model = Counts(store, facts)
 
     def pair_parts(batches) -> Iterator[pd.DataFrame]:
@@ -210,12 +232,10 @@ def train(docs: DataFrame, store: Store) -> dict:
                 continue
             number, _, before, _ = own.tokens(texts, hasher)
             pairs, n = np.unique((before.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64), return_counts=True)
-            where = own.bucket(pairs)
             rows = []
-            for b in np.unique(where):
-                p = pairs[where == b]
-                hi = (p >> np.uint64(32)).astype(np.uint32)
-                rows.append((int(b), packed(np.diff(hi, prepend=np.uint32(0)), (p & np.uint64(0xFFFFFFFF)).astype(np.uint32), n[where == b].astype(np.uint32))))
+            for b, pick in parted(own.bucket(pairs), facts["buckets"]):
+                hi = (pairs[pick] >> np.uint64(32)).astype(np.uint32)
+                rows.append((b, packed(np.diff(hi, prepend=np.uint32(0)), (pairs[pick] & np.uint64(0xFFFFFFFF)).astype(np.uint32), n[pick].astype(np.uint32))))
             yield pd.DataFrame(rows, columns=["part", "data"])
 
     def pair_merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -226,14 +246,12 @@ def train(docs: DataFrame, store: Store) -> dict:
             counts.append(n)
         pairs, n = summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
         store.save(f"pairs/{b}", pairs)
-        store.save(f"times/{b}", np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
+        store.save(*((f"times/{b}", n.astype(np.uint32)) if n.max() < 2**32 else (f"long/{b}", n)))
         left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rows = [(-1, 0, json.dumps({"upper": _frequencies(n), "types": len(pairs)}).encode())]
         for kind, (ids, *values) in enumerate((summed(left, (n == 1) * 1, (n == 2) * 1, (n > 2) * 1), summed(right, np.ones(len(right), np.int64)))):
-            part = ids * facts["buckets"] // (facts["V"] + 1)
-            for r in np.unique(part):
-                pick = part == r
-                rows.append((int(r), kind, packed(ids[pick].astype(np.uint32), *(x[pick].astype(np.uint32) for x in values))))
+            for r, pick in parted(ids // facts["range"], model.ranges()):
+                rows.append((r, kind, packed(ids[pick].astype(np.uint32), *(x[pick].astype(np.uint32) for x in values))))
         return pd.DataFrame(rows, columns=["part", "kind", "data"])
 
     def after_merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -241,8 +259,8 @@ def train(docs: DataFrame, store: Store) -> dict:
         if r < 0:
             got = [json.loads(x) for x in pdf["data"]]
             return pd.DataFrame({"facts": [json.dumps({"upper": np.sum([x["upper"] for x in got], axis=0).tolist(), "types": sum(x["types"] for x in got)})]})
-        low, high = model.low(r), model.low(r + 1)
-        table = np.zeros((4, high - low), np.int64)
+        low = r * facts["range"]
+        table = np.zeros((4, min(facts["range"], facts["V"] + 1 - low)), np.int64)
         for kind, blob in zip(pdf["kind"], pdf["data"], strict=True):
             ids, *values = unpacked(blob, *[np.uint32] * (2 if kind else 4))
             for k, x in enumerate(values, 3 if kind else 0):
@@ -271,7 +289,7 @@ def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Words and pairs (with a start and an end of each text) are counted in three passes: each task sums what it has seen and
     sends sorted, packed arrays by bucket; a bucket is merged by one task and written once. Buckets get about as many tokens
-    at any size, and pairs with a hot first word go to all of them. P(w | u) = (c(uw) - D) / c(u) + gamma(u) * (words before
+    at any size, and pairs with a hot first word go to all of them. ValueError for 2^32 distinct words or more. P(w | u) = (c(uw) - D) / c(u) + gamma(u) * (words before
     w - D') / (pairs) with modified Kneser-Ney discounts, interpolated with 1 / (V + 1) for any word. Words that no training
     text has get that last share; after such a word, and after none, the lower order counts alone.
 
@@ -280,7 +298,7 @@ def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     count as empty ids, which are held out. Copies count as often as they occur. An empty table gives an empty result. The
     model's files lie in the shared folder until all rows are scored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     training = rows.filter(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % 10 != 0)
     store = Store.new(docs.sparkSession, "pairs")
     facts = train(training, store)
@@ -300,7 +318,7 @@ def perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for k, i in enumerate(ids[at : at + 2000]):
                 yield held_out(i), int(sizes[k]), int(known[k]), facts["N"], float(base[k]), float(got[k])
 
-    scored = with_columns(rows, ["id", "text"], SCORES, score).drop("text")
+    scored = with_columns(rows, ["id", "text"], SCORES, score, ("text",))
     scored = checkpointed(scored.withColumnRenamed("id", id_col).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
     store.delete()
     return scored

@@ -55,12 +55,32 @@ def check(spark, rows, docs):
     return plain
 
 
-@pytest.mark.parametrize("bucket", [lm.BUCKET_TOKENS, 2000])
-def test_query(spark, bucket, monkeypatch):
-    """Small buckets make words hot, so that pairs are dealt over all buckets."""
+def test_parts():
+    where = np.array([3, -1, 0, 3, 9, 0])
+    assert {b: p.tolist() for b, p in lm.parted(where, 9)} == {3: [0, 3], 0: [2, 5]} and list(lm.parted(where[:0], 9)) == []
+
+
+def test_time_of_a_batch_is_flat():
+    """However many buckets there are."""
+    import time
+
+    pairs, took = np.random.default_rng(0).integers(0, 1 << 40, 1_000_000), []
+    for n in (28, 1700):
+        began = time.process_time()
+        assert sum(len(p) for _, p in lm.parted(pairs % n, n)) == len(pairs)
+        took.append(time.process_time() - began)
+    assert took[1] < 3 * took[0] + 0.1
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_query(spark, small, monkeypatch):
+    """Small buckets make words hot, so that pairs are dealt over all buckets; ranges and buckets of words are small too."""
     from kindred.llm.queries import op5_kneser_ney
 
-    monkeypatch.setattr(lm, "BUCKET_TOKENS", bucket)
+    if small:
+        monkeypatch.setattr(lm, "BUCKET_TOKENS", 2000)
+        monkeypatch.setattr(lm, "RANGE_WORDS", 700)
+        monkeypatch.setattr(lm, "WORD_BYTES", 5000)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     rows = op5_kneser_ney(spark, SMALL).collect()
     plain = check(spark, rows, docs)
