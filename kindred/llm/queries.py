@@ -87,6 +87,26 @@ fits AS (SELECT DISTINCT p.url, r.rule, r.verdict FROM (SELECT DISTINCT url, hos
 best AS (SELECT url, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM fits GROUP BY url)
 SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
 FROM parts p LEFT JOIN best b ON p.url IS NOT DISTINCT FROM b.url""",
+    "op7_shingle_join": r"""
+WITH RECURSIVE tokens AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM tokens),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, p.b FROM reach r JOIN links p ON p.a = r.other)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON s.doc_id = r.doc_id""",
+    "op9_histogram_sort": r"""
+WITH table_of AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, d: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t256),
+raw AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k FROM documents),
+sized AS (SELECT doc_id, k, CAST(octet_length(raw) + 1 AS BIGINT) AS size, list_transform(regexp_extract_all(hex(raw), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS l FROM raw),
+bytes AS (SELECT doc_id, k, size, xor(list_reduce(list_prepend(4294967295, l), lambda c, x: xor(c >> 8, t256[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM sized, table_of),
+placed AS (SELECT *, sum(size) OVER (ORDER BY k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - sum(size) OVER (PARTITION BY k) AS below, sum(size) OVER () AS total FROM bytes),
+dealt AS (SELECT *, CAST(below * 16 // total AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, shard, 'bytes' AS law, CAST(row_number() OVER (PARTITION BY shard ORDER BY k, doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt""",
     "op10_hash_threshold_mix": r"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
                       CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h FROM documents),
