@@ -214,3 +214,77 @@ def test_the_plain_model_is_the_fallback(spark):
     assert own.stages[-1].getSubsamplingRate() == 1.0
     with pytest.raises(ValueError, match="none of"):
         model.fit(rows, kind="other")
+
+
+def labelled(spark, n, values=17):
+    import random
+
+    r = random.Random(11)
+    data = [[r.randrange(values) / (values - 1) for _ in FEATURES] for _ in range(n)]
+    rows = [(*x, int(x[2] + 0.4 * x[5] + 0.3 * r.random() > 0.9)) for x in data]
+    return spark.createDataFrame(rows, ", ".join(f"{f} double" for f in FEATURES) + ", label int")
+
+
+def scores(model, own, rows):
+    return [r.score for r in model.predict(own, rows).orderBy(*FEATURES).select("score").collect()]
+
+
+def test_more_trees_are_no_more_jobs(spark):
+    """A job for each level of each tree took a run of the default settings beyond its time."""
+    from dataclasses import replace
+
+    from kindred.config import DEFAULT
+    from kindred.operators import model
+
+    rows, jobs = labelled(spark, 300).persist(), {}
+    for trees in (2, 12):
+        spark.sparkContext.setJobGroup(f"trees-{trees}", "")
+        own = model.fit(rows, replace(DEFAULT, trees=trees, depth=3))
+        jobs[trees] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trees-{trees}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(own.stages[-1].trees) == trees and own.stages[-1].treeWeights == [1.0] + [DEFAULT.rate] * (trees - 1)
+    assert 0 < jobs[12] <= jobs[2] + 2
+
+
+def test_boosting_is_that_of_spark(spark, monkeypatch):
+    """With all rows and features in each tree nothing is drawn, and values of few places are bins of their own."""
+    from dataclasses import replace
+
+    from kindred.config import DEFAULT
+    from kindred.operators import boosting, model
+
+    rows = labelled(spark, 500)
+    rows = rows.union(rows.limit(60)).persist()
+    settings = replace(DEFAULT, trees=6, depth=4, rate=0.3, subsample=1.0)
+    own = model.fit(rows, settings)
+    monkeypatch.setattr(boosting, "folder", lambda spark: None)
+    other = model.fit(rows, settings)
+    assert [t.numNodes for t in own.stages[-1].trees] == [t.numNodes for t in other.stages[-1].trees]
+    assert scores(model, own, rows) == pytest.approx(scores(model, other, rows), abs=1e-5)
+    assert list(own.stages[-1].featureImportances.toArray()) == pytest.approx(list(other.stages[-1].featureImportances.toArray()), abs=1e-4)
+
+
+def test_tasks_do_not_change_the_trees(spark, monkeypatch):
+    from dataclasses import replace
+
+    from kindred.config import DEFAULT
+    from kindred.operators import boosting, model
+
+    rows = labelled(spark, 400, values=101)
+    rows = rows.union(rows.limit(100)).persist()
+    settings = replace(DEFAULT, trees=5, depth=4)
+    one = scores(model, model.fit(rows, settings), rows)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 50)
+    assert boosting.slots(spark) > 1
+    assert scores(model, model.fit(rows.repartition(5), settings), rows) == one and len(set(one)) > 10
+    with pytest.raises(Exception, match="null"):
+        model.fit(rows.withColumn(FEATURES[3], F.lit(None).cast("double")), settings)
+
+
+def test_cuts_share_the_rows_out():
+    from kindred.operators import boosting
+
+    assert boosting.chosen([], []) == boosting.chosen([1.0], [5]) == []
+    assert boosting.chosen([0.0, 1.0, 3.0], [9, 1, 1]) == [0.5, 2.0]
+    many = boosting.chosen([float(i) for i in range(320)], [1] * 320)
+    assert len(many) == 31 and many[:2] == [9.5, 19.5]
