@@ -6,7 +6,7 @@ import heapq
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kindred.llm.shared import Store, arrow_of, column, in_arrow, spread
+from kindred.llm.shared import Store, column, in_arrow, releasing, spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -25,8 +25,9 @@ LONGEST = 48
 #: Distinct units in a file of the dictionary and in a task of the lattice, about.
 BUCKET_UNITS, TASK_UNITS = 16_000, 20_000
 #: Chunks that a worker keeps at once, and texts that it handles at once.
-MOST_KNOWN, BLOCK = 120_000, 250
-#: A text's chunks where it has runs of spaces or U+2581.
+MOST_KNOWN, BLOCK = 200_000, 250
+#: What a chunk begins with, and a text's chunks where it has runs of spaces or U+2581.
+BORDERS = f"{SPACE}\n"
 CHUNK = re.compile(f"\n[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -76,6 +77,31 @@ class Pieces:
         """A chunk in parts that no piece crosses: words with the spaces before them, marks, line breaks."""
         return self.unit.findall(chunk if chunk[:1] in (SPACE, "\n") and chunk else SPACE + chunk)
 
+    def found(self, chunks: list[str]) -> tuple[list[str], list[int]]:
+        """Units of many chunks, one behind the other, cut in one go; without the chunks of spaces only, which would run into
+        the next one. The places of these are given: each is one unit, the empty chunk a space."""
+        blank: list[int] = []
+        text = SPACE + SPACE.join(chunks) if chunks else ""
+        if SPACE * 2 in text:
+            blank = [i for i, c in enumerate(chunks) if not c.strip(SPACE)]
+            text = "".join([c if c[0] in BORDERS else SPACE + c for c in chunks if c.strip(SPACE)])
+        return self.unit.findall(text.replace(f"{SPACE}\n", "\n")), blank
+
+    def cut(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct units of many chunks, the numbers of each chunk's units in their order, and how many each chunk has."""
+        found, blank = self.found(chunks)
+        alone = [chunks[i] or SPACE for i in blank]
+        distinct = list(dict.fromkeys(chain(found, alone)))
+        number = dict(zip(distinct, range(len(distinct)), strict=True))
+        at = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+        # a unit begins a chunk if it begins with a space or a line break
+        first = np.append(np.flatnonzero(np.fromiter([u[0] in BORDERS for u in distinct], bool, len(distinct))[at]), len(at))
+        sizes = np.diff(first)
+        if blank:
+            before = np.array(blank) - np.arange(len(blank))  # other chunks before each
+            at, sizes = np.insert(at, first[before], [number[u] for u in alone]), np.insert(sizes, before, 1)
+        return distinct, at, sizes
+
     def bytes_of(self, char: str) -> list[int]:
         return [self.first_byte + b for b in char.encode("utf-8", "surrogatepass")]
 
@@ -114,6 +140,8 @@ def in_lattice(unit: str) -> bool:
     return len(unit) <= LONGEST and not unit.startswith(SPACE * 2)
 
 
+#: The same in SQL.
+IN_LATTICE = f"length(unit) <= {LONGEST} AND NOT startswith(unit, '{SPACE * 2}')"
 #: An edge as a long: rank, start, end, and 1 + id (0 for a character without a piece), so that longs sort by rank and place.
 START, END, ID = "cast(shiftright({x}, 23) & 63 AS int)", "cast(shiftright({x}, 17) & 63 AS int)", "cast({x} & 131071 AS int) - 1"
 
@@ -139,8 +167,8 @@ def unit_ids(found: DataFrame, pieces: Pieces) -> DataFrame:
     ends = f"(shiftright(st, {start}) & shiftright(st, {end}) & 1L) = 1L"
     borders = f"""aggregate(edges, shiftleft(2L, length(unit)) - 1L,
         (st, x) -> CASE WHEN {ends} AND {inner} <> 0L AND ({inner} & ({inner} - 1L)) = 0L THEN st - {inner} ELSE st END)"""
-    path = f"array_sort(transform(filter(edges, x -> {ends} AND {inner} = 0L), x -> (cast({start} AS long) << 17) + (x & 131071L)))"
-    char = "substring(unit, cast(shiftright(x, 17) AS int) + 1, 1)"
+    path = f"sort_array(transform(filter(edges, x -> {ends} AND {inner} = 0L), x -> x & {(1 << 29) - 1}L))"  # by place
+    char = "substring(unit, cast(shiftright(x, 23) AS int) + 1, 1)"
     code = f"""transform(sequence(1, octet_length({char})),
         i -> {pieces.first_byte} + cast(conv(substring(hex(encode({char}, 'utf-8')), 2 * i - 1, 2), 16, 10) AS int))"""
     return (
@@ -160,23 +188,23 @@ class Dictionary:
 
     @staticmethod
     def write(store: Store, found: DataFrame, bits: int) -> None:
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            b, keys = int(pdf["part"].iloc[0]), pdf["hash"].to_numpy(np.int64).view(np.uint64)
+        def run(rows: pa.Table) -> pa.Table:
+            b, keys = rows["part"][0].as_py(), rows["hash"].to_numpy().view(np.uint64)
             order = np.argsort(keys)
-            ids = [pdf["ids"].iloc[i] for i in order]
+            ids = rows["ids"].combine_chunks().take(pa.array(order))
             store.save(f"keys/{b}", keys[order])
-            store.save(f"starts/{b}", np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64))
-            store.save(f"ids/{b}", np.concatenate(ids).astype(np.int32))
-            return pd.DataFrame({"n": [len(keys)]})
+            store.save(f"starts/{b}", np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).astype(np.int64))
+            store.save(f"ids/{b}", ids.flatten().to_numpy().astype(np.int32))
+            return pa.table({"n": [len(keys)]})
 
         keyed = found.select(F.xxhash64("unit").alias("hash"), "ids")
-        keyed.withColumn("part", F.shiftrightunsigned("hash", 64 - bits).cast("int")).groupBy("part").applyInPandas(run, "n long").agg(F.sum("n")).collect()
+        keyed.withColumn("part", F.shiftrightunsigned("hash", 64 - bits).cast("int")).groupBy("part").applyInArrow(run, "n long").agg(F.sum("n")).collect()
 
     def look_up(self, wanted: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of each unit, and all the ids. What is found is compared with the unit; two units of one hash
         can't be told apart by it, so such a unit is merged here."""
-        texts = [u.encode("utf-8", "surrogatepass") for u in wanted]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in texts), np.uint64, len(texts))
+        texts = list(map(str.encode, wanted))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, texts, repeat(42)), np.uint64, len(texts))
         order = np.argsort(hashes)
         cuts = np.searchsorted(hashes[order], np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
         lengths, parts = np.zeros(len(wanted), np.int64), []
@@ -217,12 +245,19 @@ class Known(dict):
     def __init__(self, pieces: Pieces, dictionary: Dictionary):
         super().__init__()
         self.pieces, self.dictionary = pieces, dictionary
-        self.forget()
+        self.fresh: list[str] = []
+        self.lengths, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.met = np.empty(0, np.int64)  # how often each came
 
     def forget(self) -> None:
+        """Keeps the chunks that came twice since the last time, or none if they are too many."""
+        kept = np.flatnonzero(self.met >= 2)
+        kept = kept if len(kept) <= MOST_KNOWN // 2 else kept[:0]
+        names, sizes = list(self), self.lengths[kept]
         self.clear()
-        self.fresh: list[str] = []
-        self.lengths, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.update(zip([names[i] for i in kept], range(len(kept)), strict=True))
+        self.ids = self.ids[spread(self.starts[kept], sizes)]
+        self.lengths, self.starts, self.met = sizes, np.cumsum(sizes) - sizes, np.zeros(len(kept), np.int64)
 
     def __missing__(self, chunk: str) -> int:
         self.fresh.append(chunk)
@@ -231,18 +266,15 @@ class Known(dict):
 
     def learn(self) -> None:
         """Ids of the chunks that are new."""
-        cut = [self.pieces.units(c) for c in self.fresh]
-        number: dict[str, int] = {}
-        at = np.fromiter((number.setdefault(u, len(number)) for u in chain.from_iterable(cut)), np.int64)
-        listed = [u for u in number if in_lattice(u)]
+        number, at, cut = self.pieces.cut(self.fresh)
+        listed = list(filter(in_lattice, number))
         lengths, ids = self.dictionary.look_up(listed)
-        other = {u: self.pieces.merge(u) for u in number if not in_lattice(u)}
-        if other:  # in the order of their numbers
+        if len(listed) < len(number):  # the others are merged here; all are put in the order of their numbers
             every = iter(np.split(ids, np.cumsum(lengths)[:-1]))
-            cuts = [np.array(other[u], np.int32) if u in other else next(every) for u in number]
+            cuts = [next(every) if in_lattice(u) else np.array(self.pieces.merge(u), np.int32) for u in number]
             lengths, ids = np.fromiter(map(len, cuts), np.int64, len(cuts)), np.concatenate(cuts)
         ends = np.concatenate(([0], np.cumsum(lengths[at])))
-        sizes = np.diff(ends[np.concatenate(([0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))))])
+        sizes = np.diff(ends[np.concatenate(([0], np.cumsum(cut)))])
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(sizes) - sizes))
         self.lengths = np.concatenate((self.lengths, sizes))
         self.ids, self.fresh = np.concatenate((self.ids, ids[spread((np.cumsum(lengths) - lengths)[at], lengths[at])])), []
@@ -255,6 +287,7 @@ class Known(dict):
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64)
         if self.fresh:
             self.learn()
+        self.met = np.bincount(at, minlength=len(self)) + np.pad(self.met, (0, len(self) - len(self.met)))
         each = self.lengths[at]
         ends = np.concatenate(([0], np.cumsum(each)))
         bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))))
@@ -282,16 +315,17 @@ def dictionary(texts: DataFrame, pieces: Pieces) -> Callable[[], Known]:
         known: set[str] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
-                fresh = set(chain.from_iterable(map(pieces.chunks, batch.column(0).slice(at, BLOCK).to_pylist()))).difference(known)
-                if len(known) > 2 * MOST_KNOWN:
+                fresh = list(set(chain.from_iterable(map(pieces.chunks, batch.column(0).slice(at, BLOCK).to_pylist()))).difference(known))
+                if len(known) > MOST_KNOWN:
                     known.clear()
                 known.update(fresh)
-                yield pd.DataFrame({"unit": [u for u in set(chain.from_iterable(map(pieces.units, fresh))) if in_lattice(u)]}, dtype=object)
+                found, blank = pieces.found(fresh)
+                yield pa.RecordBatch.from_arrays([pa.array({*found, *(fresh[i] or SPACE for i in blank)}, pa.string())], ["unit"])
 
     store = Store.new(spark, "units")
     store.delete_at_exit()
     # copies go in each task before units are exchanged
-    found = store.table(texts.mapInArrow(arrow_of(seen, "unit string"), "unit string").distinct(), "found")
+    found = store.table(texts.mapInArrow(releasing(seen), "unit string").filter(IN_LATTICE).distinct(), "found")
     n = found.count()
     bits = max(6, (n // BUCKET_UNITS).bit_length())
     # An aggregate that sorts in memory, in a session of its own: the one by hash hands its rows to a sorter on disk after a

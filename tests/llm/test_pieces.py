@@ -86,3 +86,42 @@ def test_chunks_hold_the_units_of_the_text():
     for t in ODD + ["".join(r.choice(" a.\n▁\t,é") for _ in range(r.randint(0, 30))) for _ in range(3000)]:
         whole = own.unit.findall(P.SPACE + t.replace(" ", P.SPACE)) if t else []
         assert [u for c in own.chunks(t) for u in own.units(c)] == whole, repr(t)
+
+
+def test_many_chunks_are_cut_at_once():
+    own, r = P.Pieces.read(P.MODEL), random.Random(4)
+    for blanks in ([], ["", "▁▁", "▁▁▁▁"]):
+        every = list({c for t in ODD for c in own.chunks(t)} | {"word", "word,", "\n", "\nnext", "\n\t", "\t", "x1.y"})
+        for _ in range(200):
+            some = [c for c in r.sample(every, 12) if c.strip(P.SPACE)] + blanks
+            r.shuffle(some)
+            units, at, sizes = own.cut(some)
+            assert len(units) == len(set(units)) and [len(own.units(c)) for c in some] == sizes.tolist()
+            assert [u for c in some for u in own.units(c)] == [units[i] for i in at], some
+    assert [x if isinstance(x, list) else x.tolist() for x in own.cut([])] == [[], [], []]
+
+
+class Merged:
+    """In place of the dictionary: every unit by merging; says what was looked up."""
+
+    def __init__(self, pieces):
+        self.pieces, self.asked = pieces, []
+
+    def look_up(self, wanted):
+        self.asked += wanted
+        every = [self.pieces.merge(u) for u in wanted]
+        return np.array([len(x) for x in every], np.int64), np.array([i for x in every for i in x], np.int32)
+
+
+def test_frequent_chunks_stay(library, monkeypatch):
+    """A worker that has met too many chunks keeps those that come again, and learns the others anew."""
+    monkeypatch.setattr(P, "MOST_KNOWN", 50)
+    own = P.Pieces.read(P.MODEL)
+    made = Merged(own)
+    known = P.Known(own, made)
+    for k in range(30):
+        texts = [f"the the of of  end\n{chr(97 + k % 26)}{k}x word{k} word{k}{j}" for j in range(20)] + ODD[k % 5 :: 5] + [None]
+        sizes, ids = known.encode(texts)
+        assert [i.tolist() for i in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t or "") for t in texts]
+    assert made.asked.count("▁the") == made.asked.count("▁of") == 1
+    assert len(known) < 200
